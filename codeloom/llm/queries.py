@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chunk_bpe, packing, token_counts
+from . import chunk_bpe, fingerprint, packing, pii, token_counts
 from .common import table
 
 
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_chunked(table(spark, sf_dir, "documents"), digests=True)
 
@@ -21,5 +28,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chunk_bpe, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_pii_anchors, op4_chunk_bpe, op8_token_counts, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
