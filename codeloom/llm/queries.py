@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, fingerprint, packing, pii, token_counts
+from . import chunk_bpe, fingerprint, html_text, jaccard_join, packing, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -20,13 +20,29 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_chunked(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_pii_anchors, op4_chunk_bpe, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_pii_anchors, op4_chunk_bpe, op5_jaccard_join, op6_quality_bayes, op7_warc_chain, op8_token_counts, op9_line_blocks, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
