@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, fingerprint, html_text, jaccard_join, packing, pii, quality, token_counts, warc
+from . import chunk_bpe, embedding_join, fingerprint, html_text, jaccard_join, packing, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_pii_anchors, op4_chunk_bpe, op5_jaccard_join, op6_quality_bayes, op7_warc_chain, op8_token_counts, op9_line_blocks, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_itq_neardup, op3_pii_anchors, op4_chunk_bpe, op5_jaccard_join, op6_quality_bayes, op7_warc_chain, op8_token_counts, op9_line_blocks, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
