@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..functions import names as N
-from ..operators import areas, changes, graph, ranking, resolve, search
+from ..operators import areas, bindings, changes, graph, orient, ranking, resolve, search
+from . import render
 from . import views as V
 
 QUERIES: dict = {}
@@ -394,4 +395,72 @@ def symbol_handles(spark, sf):
 @query()
 def entrypoints(spark, sf):
     return areas.entrypoints(V.symbols(spark, sf))
+
+
+TERMS = ["widget", "Supplier_1", "order_7", "NATION_3", "nothing_here"]
+
+
+def _oriented(spark, sf):
+    symbols, relations = V.symbols(spark, sf), _relations(spark, sf)
+    found = orient.match_terms(spark, symbols, symbols.select(F.col("file_path").alias("path")).distinct(), TERMS)
+    return found, orient.ranked(found.candidates, relations, symbols)
+
+
+@query()
+def orient_candidates(spark, sf):
+    return _oriented(spark, sf)[0].candidates
+
+
+@query()
+def orient_ranked(spark, sf):
+    return _oriented(spark, sf)[1]
+
+
+@query()
+def orient_json(spark, sf):
+    return spark.createDataFrame([(render.orientation(*_oriented(spark, sf)),)], "payload string")
+
+
+BINDINGS_SQL = """bound as (select user_id as file, 'v' || event_id % 5 as name, case when event_type = 'view' then null else event_type end as type_name, cast(floor(value) as bigint) as scope_start,
+  cast(floor(value) as bigint) + 5 + event_id % 60 as scope_end, event_id % 2 as frame, event_id % 3 = 0 as parameter from events),
+sites as (select event_id as site_id, user_id as file, 'v' || event_id % 5 as name, cast(floor(value) as bigint) + 3 as at from events where event_id % 4 = 0)"""
+
+
+def _bindings(spark, sf):
+    e, at = V.read(spark, sf, "events"), F.floor("value").cast("long")
+    file, name = F.col("user_id").alias("file"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("name")
+    made = e.select(file, name, F.when(F.col("event_type") != "view", F.col("event_type")).alias("type_name"), at.alias("scope_start"), (at + 5 + F.col("event_id") % 60).alias("scope_end"), (F.col("event_id") % 2).alias("frame_start"), (F.col("event_id") % 2).alias("frame_end"), (F.col("event_id") % 3 == 0).alias("parameter"))
+    return e.where("event_id % 4 = 0").select(F.col("event_id").alias("site_id"), file, name, (at + 3).alias("at")), made
+
+
+@query("""select s.site_id, k.type_name from sites s left join (select b.site_id, b.type_name from (
+    select site_id, s.file, s.name, min(struct_pack(span := scope_end - scope_start, a := scope_start, z := scope_end, t := type_name, f := frame)) filter (where type_name is not null) as best
+    from sites s join bound b on s.file = b.file and s.name = b.name and b.scope_start <= s.at and s.at <= b.scope_end group by 1, 2, 3) x, lateral (select x.best.t as type_name, x.site_id as site_id) b where x.best is not null
+    and not exists (select 1 from bound o where o.file = x.file and o.name = x.name and o.scope_start = x.best.a and o.scope_end = x.best.z and coalesce(o.type_name, '') <> x.best.t)
+    and not exists (select 1 from bound o where o.file = x.file and o.name = x.name and o.scope_start >= x.best.a and o.scope_end <= x.best.z and (o.scope_start <> x.best.a or o.scope_end <> x.best.z) and o.frame = x.best.f and o.type_name is distinct from x.best.t)) k using (site_id)""", BINDINGS_SQL)
+def declared_type_at(spark, sf):
+    return bindings.declared_types(*_bindings(spark, sf))
+
+
+@query("select site_id from sites s where exists (select 1 from bound b where s.file = b.file and s.name = b.name and b.scope_start <= s.at and s.at <= b.scope_end and not b.parameter)", BINDINGS_SQL)
+def rebound_sites(spark, sf):
+    return bindings.bound(*_bindings(spark, sf), but_parameters=True).select("site_id")
+
+
+@query("select name, min(id) filter (where t) as type_id, min(qualified_name) filter (where t) as type_name from (select *, kind in ('class', 'record', 'interface', 'struct', 'enum', 'type') as t from v_symbols) group by 1 having count(*) filter (where t) = 1 and count(*) filter (where not t) = 0", V.SYMBOLS_SQL)
+def strict_unique_types(spark, sf):
+    return bindings.unique_types(V.symbols(spark, sf), True)
+
+
+@query("select distinct file_path as path, rank_id as id from (select file_path, first_value(id) over (partition by file_path order by case when rank = 8 then 1 else 0 end, rank, start_line, id) as rank_id from ranked where kind <> 'import')", V.SYMBOLS_SQL, RANK_SQL)
+def best_declarations(spark, sf):
+    return orient.best_declarations(V.symbols(spark, sf)).select(F.col("file_path").alias("path"), "id")
+
+
+@query("""select o_orderkey as site_id, arg_max(s.id, k) as member_id from (select o_orderkey, c_name || '.order_' || o_orderkey as inside, unnest(range(1, 3)) as k from orders join customer on o_custkey = c_custkey) x
+  join (select qualified_name, min(id) as id from v_symbols group by 1 having count(*) = 1) s on s.qualified_name = array_to_string(string_split(x.inside, '.')[:k], '.') || '.order_' || o_orderkey group by 1""", V.SYMBOLS_SQL)
+def enclosing_members(spark, sf):
+    s = V.symbols(spark, sf)
+    asked = s.where("kind = 'method'").select(F.substring_index("id", ":", -1).cast("long").alias("site_id"), F.col("qualified_name").alias("inside"), F.col("name").alias("member"))
+    return bindings.enclosing_members(asked, s)
 # fmt: on
