@@ -109,3 +109,47 @@ def related(relations: DataFrame, symbols: DataFrame, symbol_id: str, limit: int
 def dependents(relations: DataFrame, names: DataFrame) -> DataFrame:
     """Files with a reference to one of the names."""
     return relations.where("kind = 'references'").join(names.select(F.col("name").alias("to_name")), "to_name", "left_semi").select(F.col("from_file_path").alias("path")).distinct()
+
+
+def unresolved_by_name(relations: DataFrame, name: str, limit: int) -> DataFrame:
+    """The first references without target that use a name, each with the exact total."""
+    found = relations.where((F.col("kind") == "references") & F.col("to_symbol_id").isNull() & (F.col("to_name") == name))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy("from_file_path", F.coalesce("start_line", F.lit(0)), "id").limit(limit).select("id", "from_file_path", "start_line").join(F.broadcast(total))
+
+
+def compact_context(relations: DataFrame, symbols: DataFrame, symbol_id: str, limit: int = 20) -> DataFrame:
+    """Names that a symbol's first dependencies lead to, each once, by the place of its first edge."""
+    first = dependencies_page(relations.where("kind = 'references'"), symbol_id, limit).select("id", "to_symbol_id", "to_name")
+    named = symbols.select(F.col("id").alias("target"), F.col("name").alias("target_name"))
+    met = named.join(F.broadcast(first), F.col("target") == F.col("to_symbol_id"), "right")  # twenty rows
+    return met.groupBy(F.coalesce("target_name", "to_name").alias("name")).agg(F.min("id").alias("first_edge"))
+
+
+def import_matches(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """page_id, to_name, path: import texts whose segments end a file's segments, met on the last segment."""
+    asked = imports.select("page_id", "to_name").distinct().withColumn("i", N.import_segments("to_name")).where(F.size("i") > 0)
+    held = files.select("path", N.path_segments("path").alias("f")).where(F.size("f") > 0)
+    met = asked.join(held, F.element_at("i", -1) == F.element_at("f", -1))
+    return met.where(N.ends_with(F.col("f"), F.col("i"))).select("page_id", "to_name", "path")
+
+
+def project_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: files, symbols, ranked symbols, namespaces, languages."""
+    s = symbols.agg(F.count("*").alias("n_symbols"), F.count_if(N.kind_rank("kind") < len(N.KINDS)).alias("n_ranked"), F.count_distinct(F.when(F.col("kind") == "namespace", F.col("name"))).alias("n_namespaces"))
+    f = files.agg(F.count("*").alias("n_files"), F.count_distinct("language").alias("n_languages"))
+    return s.join(F.broadcast(f))  # one row each
+
+
+def outline_page(symbols: DataFrame, path: str, limit: int) -> DataFrame:
+    """The first symbols of a file, and for each whether its container is on the page (else it is a root)."""
+    page = symbols.where(F.col("file_path") == path).orderBy("start_line", "id").limit(limit)
+    up = page.select(F.col("id").alias("up"))
+    return page.join(F.broadcast(up), F.col("container_id") == F.col("up"), "left").select("id", "name", F.col("up").alias("parent"))
+
+
+def windows_of_tokens(tokens: DataFrame, symbols: DataFrame, most_lines: int) -> DataFrame:
+    """token, reason, start, end of continuation requests (token, handle, line, fingerprint, expected, symbol_start, symbol_end): null reason where lines can be served."""
+    ended = F.least("symbol_end", F.col("line") + most_lines - 1)
+    reason = F.when(F.col("handle").isNull(), "invalid").when(F.col("symbol_end").isNull(), "unknown-symbol").when(F.col("fingerprint") != F.col("expected"), "stale").when((F.col("line") <= F.col("symbol_start")) | (F.col("line") > F.col("symbol_end")), "out-of-range")
+    return tokens.select("token", reason.alias("reason"), F.when(reason.isNull(), F.col("line")).alias("start"), F.when(reason.isNull(), ended).alias("end"))

@@ -463,4 +463,50 @@ def enclosing_members(spark, sf):
     s = V.symbols(spark, sf)
     asked = s.where("kind = 'method'").select(F.substring_index("id", ":", -1).cast("long").alias("site_id"), F.col("qualified_name").alias("inside"), F.col("name").alias("member"))
     return bindings.enclosing_members(asked, s)
+
+
+@query("select id, from_file_path, start_line, count(*) over () as total from relations where kind = 'references' and to_symbol_id is null and to_name = '1-URGENT' order by from_file_path, start_line, id limit 25", V.RELATIONS_SQL)
+def unresolved_references_by_name(spark, sf):
+    return graph.unresolved_by_name(_relations(spark, sf), "1-URGENT", 25)
+
+
+@query("select coalesce(s.name, d.to_name) as name, min(d.id) as first_edge from (select id, to_symbol_id, to_name from relations where kind = 'references' and from_symbol_id = 'me:7' order by id limit 20) d left join v_symbols s on s.id = d.to_symbol_id group by 1", V.RELATIONS_SQL)
+def compact_context_names(spark, sf):
+    return graph.compact_context(_relations(spark, sf), V.symbols(spark, sf), "me:7")
+
+
+@query("""select distinct page_id, to_name, path from (select page_id, to_name, list_filter(string_split(regexp_replace(to_name, '::|/', '.', 'g'), '.'), lambda x: x <> '') as i from made) a
+  join (select distinct file_path as path, list_append(string_split(file_path, '/')[:-2], regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '')) as f from v_symbols) b on len(i) > 0 and len(f) >= len(i) and f[len(f) - len(i) + 1:] = i""",
+       V.SYMBOLS_SQL, "made as (select p_partkey as page_id, replace(p_brand, '#', '') || '::' || replace(lower(p_type), ' ', '_') as to_name from part)")
+def import_file_matches(spark, sf):
+    made = V.read(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("::"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("_"))).alias("to_name"))
+    return graph.import_matches(made, _symbol_files(spark, sf))
+
+
+@query("select (select count(*) from v_symbols) as n_symbols, (select count(*) from ranked where rank < 8) as n_ranked, (select count(distinct name) from v_symbols where kind = 'namespace') as n_namespaces, count(*) as n_files, count(distinct language) as n_languages from v_files", V.SYMBOLS_SQL, RANK_SQL, V.FILES_SQL)
+def project_map_totals(spark, sf):
+    return graph.project_totals(V.files(spark, sf), V.symbols(spark, sf))
+
+
+@query("select p.id, p.name, q.id as parent from page p left join page q on p.container_id = q.id", V.SYMBOLS_SQL, "page as (select * from v_symbols where file_path = 'app/NATION_3/customers.cus' order by start_line, id limit 200)")
+def file_outline_page(spark, sf):
+    return graph.outline_page(V.symbols(spark, sf), "app/NATION_3/customers.cus", 200)
+
+
+@query(f"""select area, rn, id, children from (select *, row_number() over (partition by area order by demoted, children desc, rank, file_path, start_line, id) as rn from (
+    select s.*, least(coalesce(c.n, 0), 10) as children, {AREA_SQL.format(p='s.file_path')} as area, {TEST_SQL.format(p='s.file_path')} or {GENERATED_SQL.format(p='s.file_path')} as demoted from ranked s
+    left join (select container_id, count(*) as n from v_symbols where container_id is not null group by 1) c on c.container_id = s.id where rank < 8)) where rn <= 5 and area is not null and area <> 'lib'""", V.SYMBOLS_SQL, RANK_SQL)
+def fallback_anchors(spark, sf):
+    return areas.fallback_anchors(V.symbols(spark, sf), FIXED_AREAS, spark.createDataFrame([("lib",)], "area string"))
+
+
+@query("select path, language, content_hash from v_files where language = 'de'", V.FILES_SQL)
+def languages_and_hashes_by_path(spark, sf):
+    return V.files(spark, sf).where("language = 'de'")
+
+
+@query("select page_id, string_agg(to_name, ',' order by to_name) as names, count(*) as n_names from (select distinct page_id, to_name from v_imports where page_id < 20) group by 1", V.IMPORTS_SQL)
+def imports_for_files(spark, sf):
+    own = V.imports(spark, sf).where("page_id < 20").distinct()  # a lookup by a set of files
+    return own.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("to_name")), ",").alias("names"), F.count("*").alias("n_names"))
 # fmt: on
