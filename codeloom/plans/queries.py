@@ -33,7 +33,7 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
 def _placed(df: DataFrame, *order) -> DataFrame:
     from pyspark.sql import Window
 
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over the rows of one page
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over the rows of one page
 
 
 @query("select to_symbol_id as id, name, kind, degree from (select to_symbol_id, count(*) as degree from relations where kind = 'references' and resolution in ('exact', 'scoped') group by 1 order by 2 desc, 1 limit 20) t join v_symbols s on s.id = t.to_symbol_id", V.RELATIONS_SQL)
@@ -260,7 +260,7 @@ def top_declared_cascade(spark, sf):
 
 @query("select file_path, id, row_number() over (partition by file_path order by start_line, id) as rn, count(*) over (partition by file_path) as total from v_symbols where container_id is null qualify rn <= 10", V.SYMBOLS_SQL)
 def siblings_top10(spark, sf):
-    return ranking.first_of_files(V.symbols(spark, sf), 10)
+    return ranking.first_of_files(V.symbols(spark, sf), 10).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("""select id, depth, root from tree where up is null""",
@@ -321,10 +321,10 @@ def area_totals(spark, sf):
     select s.*, t.degree, {AREA_SQL.format(p='s.file_path')} as area, {TEST_SQL.format(p='s.file_path')} or {GENERATED_SQL.format(p='s.file_path')} as demoted from ranked s join
     (select to_symbol_id, count(*) as degree from relations where kind = 'references' and resolution in ('exact', 'scoped') group by 1 order by 2 desc, 1 limit 500) t on t.to_symbol_id = s.id where rank < 8)) where rn <= 5 and area is not null""", V.RELATIONS_SQL, RANK_SQL)
 def anchors_per_area(spark, sf):
-    return areas.anchors(_relations(spark, sf), V.symbols(spark, sf), FIXED_AREAS)
+    return areas.anchors(_relations(spark, sf), V.symbols(spark, sf), FIXED_AREAS).withColumn("rn", F.col("rn").cast("long"))
 
 
-@query(f"""select from_area, to_area, sum(n) as n_refs, split_part(min(k), '|', 2) as best_from, split_part(min(k), '|', 3) as best_to from (
+@query(f"""select from_area, to_area, cast(sum(n) as bigint) as n_refs, split_part(min(k), '|', 2) as best_from, split_part(min(k), '|', 3) as best_to from (
     select {AREA_SQL.format(p='from_path')} as from_area, {AREA_SQL.format(p='to_path')} as to_area, n, lpad(cast(1000000000 - n as varchar), 10, '0') || '|' || from_path || '|' || to_path as k from (
       select r.from_file_path as from_path, s.file_path as to_path, count(*) as n from relations r join v_symbols s on s.id = r.to_symbol_id where r.kind = 'references' and r.from_file_path <> s.file_path group by 1, 2))
     where from_area <> to_area group by 1, 2""", V.RELATIONS_SQL)
@@ -358,7 +358,7 @@ def coalesce_latest_intent(spark, sf):
     return changes.latest_intents(V.events(spark, sf))
 
 
-@query("""select path, burst, count(*) as n_events, arg_max(intent, seq) as intent from (select *, sum(fresh) over (partition by path order by ts, seq rows unbounded preceding) as burst from (
+@query("""select path, burst, count(*) as n_events, arg_max(intent, seq) as intent from (select *, cast(sum(fresh) over (partition by path order by ts, seq rows unbounded preceding) as bigint) as burst from (
     select *, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) >= 3600000000 then 1 else 0 end as fresh from v_events window w as (partition by path order by ts, seq))) group by 1, 2""", V.EVENTS_SQL)
 def debounce_sessions(spark, sf):
     return changes.quiet_bursts(V.events(spark, sf), 3600)
@@ -497,7 +497,7 @@ def file_outline_page(spark, sf):
     select s.*, least(coalesce(c.n, 0), 10) as children, {AREA_SQL.format(p='s.file_path')} as area, {TEST_SQL.format(p='s.file_path')} or {GENERATED_SQL.format(p='s.file_path')} as demoted from ranked s
     left join (select container_id, count(*) as n from v_symbols where container_id is not null group by 1) c on c.container_id = s.id where rank < 8)) where rn <= 5 and area is not null and area <> 'lib'""", V.SYMBOLS_SQL, RANK_SQL)
 def fallback_anchors(spark, sf):
-    return areas.fallback_anchors(V.symbols(spark, sf), FIXED_AREAS, spark.createDataFrame([("lib",)], "area string"))
+    return areas.fallback_anchors(V.symbols(spark, sf), FIXED_AREAS, spark.createDataFrame([("lib",)], "area string")).withColumns({"rn": F.col("rn").cast("long"), "children": F.col("children").cast("long")})
 
 
 @query("select path, language, content_hash from v_files where language = 'de'", V.FILES_SQL)
