@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chunk_bpe, embedding_join, fingerprint, html_text, jaccard_join, packing, pii, quality, token_counts, warc
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +50,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_itq_neardup, op3_pii_anchors, op4_chunk_bpe, op5_jaccard_join, op6_quality_bayes, op7_warc_chain, op8_token_counts, op9_line_blocks, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
