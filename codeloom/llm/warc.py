@@ -26,6 +26,8 @@ MAGIC = "WARC/1.0\r\n"
 END = b"\r\n\r\n"
 BASE32_16, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 URN = "urn:page:"
+#: At most so many repeated payloads' digests (some 100 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -45,8 +47,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.octet_length("body"))
     # Only digests met more than once travel to the rows; the counting combines before its shuffle.
-    shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("id"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(shared.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("size") >= least), "left")
+    shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("id"))).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    shared = cut(shared)
+    few = shared.count() <= BROADCAST_ROWS  # beyond, the join shuffles, and Spark splits a payload that very many rows share
+    rows = rows.join(F.broadcast(shared) if few else shared, (F.col("digest") == F.col("d")) & (F.col("size") >= least), "left")
     first = F.col("first.id")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(first)
     name = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c, F.lit("null")), F.lit(">"))
