@@ -36,7 +36,9 @@ NUM, DEN = 75, 100
 REGIONS = 48
 #: A region with more distinct sets is crowded.
 CROWDED = 64
-PIVOTS, LEVELS = 8, 6
+#: Of its crowded regions a document enters so many, the first in one order for all; a linked pair shares none of them with a chance of 4 ** -CROWDED_REGIONS.
+CROWDED_REGIONS = 24
+PIVOTS, LEVELS = 4, 2
 BLOCK = 256
 #: Lists of ids up to this many are broadcast (some 40 MB); longer ones are joined by shuffles.
 BROADCAST_IDS = 2_000_000
@@ -117,10 +119,11 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = _pairs_in(shared.where(F.col("members") <= CROWDED))
     # Of a linked pair's first regions three in four are expected in common; small sets are all there, so count them exactly.
     both_whole = (F.col("an") <= REGIONS) & (F.col("bn") <= REGIONS)
-    expected = F.when(both_whole, 1).otherwise(F.when((F.col("an") >= REGIONS) & (F.col("bn") >= REGIONS), 2).otherwise(1))
+    expected = F.when(both_whole, 1).otherwise(F.when((F.col("an") >= REGIONS) & (F.col("bn") >= REGIONS), 3).otherwise(1))
     pairs = cut(pairs.where(F.col("shared") >= expected).select("a", "b"))
-    busy = shared.where(F.col("members") > CROWDED).join(heavy, F.col("node") == F.col("h"), "left_semi").select("region", "node", "n")
-    busy = cut(busy)
+    busy = shared.where(F.col("members") > CROWDED).join(heavy, F.col("node") == F.col("h"), "left_semi")
+    own = busy.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_list("region")), 1, CROWDED_REGIONS).alias("regions"))
+    busy = cut(own.select(F.explode("regions").alias("region"), "node", "n"))
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(busy.select("node")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -128,7 +131,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = cut(_sets(texts))
     links = [cut(_verify(pairs, sets).where("ok").select("a", "b"))]
     if busy.head(1):
-        links += _crowded_links(busy, sets)
+        # Few sets are compared again and again, so they are taken apart from the others.
+        links += _crowded_links(busy, cut(sets.join(busy.select(F.col("node").alias("h")).distinct(), F.col("node") == F.col("h"), "left_semi")))
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
@@ -148,13 +152,15 @@ def _crowded_links(busy: DataFrame, sets: DataFrame) -> list[DataFrame]:
         if pairs.head(1):
             links.append(cut(_verify(pairs, sets).where("ok").select("a", "b")))
         busy = met.where(F.col("members") > CROWDED).select("region", "node", "n")
+        if not busy.head(1):
+            return links + _border(near, links, sets)
         # The pivots of a region: its members with the smallest hashes, a bounded list that is combined before the shuffle.
         ranked = busy.select("region", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PIVOTS)).alias("slot"), F.struct(F.xxhash64("node", F.lit(level + 1000)).alias("h"), "node").alias("x"))
-        pivots = ranked.groupBy("region", "slot").agg(F.min("x.h").alias("_"), F.min("x").alias("x")).select(F.col("region").alias("r"), F.col("x.node").alias("pivot"))
-        measured = busy.join(pivots, F.col("region") == F.col("r")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        measured = cut(_verify(measured, sets))
-        if not measured.head(1):
-            return links + _border(near, links, sets)
+        pivots = ranked.groupBy("region", "slot").agg(F.min("x").alias("x")).select(F.col("x.node").alias("pivot")).distinct()
+        # A document is measured against every pivot that shares a crowded region with it, in a list, not a row for each region.
+        listed = busy.join(pivots, F.col("node") == F.col("pivot")).groupBy(F.col("region").alias("r")).agg(F.collect_set("pivot").alias("pivots"))
+        own = busy.join(listed, F.col("region") == F.col("r")).groupBy(F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+        measured = cut(_verify(own.select("a", F.explode("pivots").alias("b")), sets))
         links.append(measured.where("ok and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         kept = measured.where(F.col("likeness") >= 1 - 2 * (1 - NUM / DEN) - 1e-9)
         near = kept if near is None else near.unionByName(kept)
@@ -166,7 +172,10 @@ def _crowded_links(busy: DataFrame, sets: DataFrame) -> list[DataFrame]:
 
 
 def _border(near: DataFrame | None, links: list[DataFrame], sets: DataFrame) -> list[DataFrame]:
-    """Links between the balls of pivots and documents just outside, which the triangle inequality can't rule out."""
+    """Links between a pivot's region and documents just outside, which the triangle inequality can't rule out.
+
+    A document within the radius of pivots lies in the Voronoi region of its nearest; each pair is compared there alone.
+    """
     if near is None:
         return []
     known = links[0]
@@ -175,17 +184,60 @@ def _border(near: DataFrame | None, links: list[DataFrame], sets: DataFrame) ->
     roots = cut(components(known))
     root = lambda df, at, name: df.join(roots.select(F.col("node").alias(f"_{name}"), F.col("root").alias(name)), F.col(at) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, at)).drop(f"_{name}")
     near = cut(root(root(near, "a", "own"), "b", "of"))
-    outside = near.where("not ok and own <> of").select(F.col("a").alias("y"), F.col("b").alias("p"), F.col("likeness").alias("ly"), F.col("own").alias("oy"))
-    ball = near.where("ok").select(F.col("a").alias("x"), F.col("b").alias("q"), F.col("likeness").alias("lx"), F.col("own").alias("ox"))
-    # d(x, p) >= d(y, p) - RADIUS, written with likenesses.
-    window = F.col("lx") <= F.col("ly") + (1 - NUM / DEN) + 1e-9
-    pairs = ball.join(outside, (F.col("q") == F.col("p")) & (F.col("ox") != F.col("oy")) & window).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct()
-    return [cut(_verify(pairs, sets).where("ok").select("a", "b"))]
+    outside = near.where("not ok and own <> of").select(F.col("b").alias("p"), F.col("a").alias("node"), "likeness", F.col("own").alias("root"))
+    nearest = near.where("ok").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("likeness", (-F.col("b")).alias("m"))).alias("best"), F.first("own").alias("root"))
+    inside = nearest.select((-F.col("best.m")).alias("p"), "node", F.col("best.likeness").alias("likeness"), "root")
+    asked = outside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_out"), F.max("likeness").alias("most"))
+    size = inside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_in")).join(asked, "q").select("q", F.ceil(F.col("n_in") / BLOCK).cast("int").alias("ins"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("outs"), "most")
+    size = cut(size)
+    block = lambda of: F.pmod(F.xxhash64("node", F.lit(7)), F.col(of)).cast("int")
+    # The window: d(x, p) >= d(y, p) - RADIUS for some y outside, written with likenesses.
+    window = F.col("likeness") <= F.col("most") + (1 - NUM / DEN) + 1e-9
+    left = inside.join(size, F.col("p") == F.col("q")).where(window).select("p", "node", "likeness", "root", F.lit(0).alias("side"), block("ins").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"))
+    right = outside.join(size, F.col("p") == F.col("q")).select("p", "node", "likeness", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"), block("outs").alias("j"))
+    dealt = left.unionByName(right).join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("p", "i", "j", "side", "node", "likeness", "root", "set")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        shared, a, b = _shared(x["set"], y["set"])
+        near = linked(shared, a[:, None], b[None, :]) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
+        i, j = np.nonzero(near)
+        return _pairs(x["node"].to_numpy()[i], y["node"].to_numpy()[j])
+
+    return [cut(dealt.groupBy("p", "i", "j").applyInPandas(compare, "a long, b long"))]
+
+
+def _shared(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the intersections of every set on the left with every set on the right, and the sets' sizes, in bounded memory."""
+    rows = [*left, *right]
+    size = np.array([len(s) for s in rows], np.int64)
+    words, inverse = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
+    at = np.repeat(np.arange(len(rows)), size)
+    # Only words of both sides count; most of a text's shingles are its own.
+    here = np.bincount(inverse[at < len(left)], minlength=len(words)) > 0
+    there = np.bincount(inverse[at >= len(left)], minlength=len(words)) > 0
+    place = np.cumsum(here & there) - 1
+    kept = (here & there)[inverse]
+    at, inverse = at[kept], place[inverse[kept]]
+    order = np.argsort(inverse, kind="stable")
+    inverse, at = inverse[order], at[order]
+    shared = np.zeros((len(left), len(right)))
+    step = 1 << 12
+    for start in range(0, int((here & there).sum()), step):
+        lo, hi = np.searchsorted(inverse, [start, start + step])
+        table = np.zeros((len(rows), min(step, int(inverse[-1]) + 1 - start)), np.float32)
+        table[at[lo:hi], inverse[lo:hi] - start] = 1
+        shared += table[: len(left)] @ table[len(left) :].T
+    return shared, size[: len(left)], size[len(left) :]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.maximum(x, y).astype(np.int64), "b": np.minimum(x, y).astype(np.int64)})[x != y]
 
 
 def _by_blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among nodes that no pivot has parted, one pair of bounded blocks a task."""
-    blocks = max(1, -(-nodes.count() // (BLOCK // 2)))
+    blocks = max(1, -(-nodes.count() // BLOCK))
     held = sets.join(nodes.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = held.select("node", "set", "own", other.alias("other")).select("node", "set", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -193,18 +245,9 @@ def _by_blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        words, inverse = np.unique(np.concatenate([*left["set"], *right["set"], np.zeros(0, np.int64)]), return_inverse=True)
-        size = [len(s) for s in [*left["set"], *right["set"]]]
-        at = np.repeat(np.arange(len(size)), size)
-        shared = np.zeros((len(left), len(right)))
-        for start in range(0, len(words), 1 << 14):  # bounded memory
-            here = (inverse >= start) & (inverse < start + (1 << 14))
-            table = np.zeros((len(size), 1 << 14), np.float32)
-            table[at[here], inverse[here] - start] = 1
-            shared += table[: len(left)] @ table[len(left) :].T
-        a, b = np.nonzero(linked(shared, np.array(size[: len(left)])[:, None], np.array(size[len(left) :])[None, :]))
-        x, y = left["node"].to_numpy()[a], right["node"].to_numpy()[b]
-        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})[x != y]
+        shared, a, b = _shared(left["set"], right["set"])
+        i, j = np.nonzero(linked(shared, a[:, None], b[None, :]))
+        return _pairs(left["node"].to_numpy()[i], right["node"].to_numpy()[j])
 
     return cut(dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long"))
 
