@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import cut, ready
 
 #: At most so many labelled rows are fitted, chosen by the hash of their ids.
 SAMPLE = 20_000
@@ -26,6 +26,9 @@ THRESHOLD = 0.5
 #: Bounds of the strengths of priors, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
+#: At most so many paths of hosts (some 100 bytes each) are broadcast.
+BROADCAST_SITES = 200_000
+
 FEATURES = ("symbols", "exclamations", "upper", "digits", "repeats", "distinct_shortfall", "spaces_shortfall")
 
 _SYMBOL, _BANG, _UPPER, _DIGIT, _SPACE = 1, 2, 3, 4, 5
@@ -147,10 +150,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     ready(docs.sparkSession)
     model = train(docs, labels, id_col, text_col)
-    rates = site_rates(docs, model, host_col, path_col, text_col)
+    rates = cut(site_rates(docs, model, host_col, path_col, text_col))  # one pass over the texts serves all that follows
     rate, host_strength, path_strength = strengths(rates)
     figures = rates.select(F.col("_host").alias("_q_host"), F.col("_path").alias("_q_path"), F.array(*[F.col(c).cast("double") for c in ("n_path", "s_path", "n_host", "s_host")]).alias("_q_figures"))
-    met = docs.join(figures, docs[host_col].cast("string").eqNullSafe(F.col("_q_host")) & docs[path_col].cast("string").eqNullSafe(F.col("_q_path")), "left")
+    few = figures.count() <= BROADCAST_SITES  # beyond, the join shuffles, and Spark splits a host that very many rows share
+    met = docs.join(F.broadcast(figures) if few else figures, docs[host_col].cast("string").eqNullSafe(F.col("_q_host")) & docs[path_col].cast("string").eqNullSafe(F.col("_q_path")), "left")
     width, text_at, id_at = len(docs.columns), docs.columns.index(text_col), docs.columns.index(id_col)
     rows = met.select(*[docs[f"`{c}`"] for c in docs.columns], "_q_figures")
 
