@@ -25,7 +25,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     columns = sorted(df.columns)
     out = []
     for r in df[columns].itertuples(index=False):
-        out.append("|".join("~" if x is None or x is pd.NaT or x != x else str(int(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) and x == int(x) else str(x) for x in r))
+        out.append("|".join("~" if x is None or x is pd.NaT or x is pd.NA or x != x else str(int(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) and x == int(x) else str(x) for x in r))
     return sorted(out)
 
 
