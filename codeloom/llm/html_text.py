@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,31 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header footer masthead sidebar aside widget related recommended share sharing social newsletter "
     "subscribe subscription signup login form comment comments disqus respond reply replies pagination pager skip".split()
 )
+TALK = frozenset("comment comments disqus respond reply replies".split())
+TELLS = frozenset("has with no without".split())
 ARTICLE = frozenset(("article", "main"))
+FORMATS = frozenset("a b big code em font i s small strike strong tt u".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol menu dir".split())
+TABLE = frozenset("tr td th thead tbody tfoot caption colgroup".split())
+CELLS = frozenset("td th caption table".split())
+# What HTML closes when an element of the first names begins: the innermost of the second names within the third.
+_BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main "
+    "menu nav ol p pre search section summary table ul dd dt".split()
+)
+IMPLIED = (
+    (_BLOCKS, ("p",), CELLS | {"button", "object"} | ARTICLE),
+    (("li",), ("li",), _BLOCKS - {"address", "div", "p", "li"} | CELLS),
+    (("dd", "dt"), ("dd", "dt"), _BLOCKS - {"address", "div", "p", "dd", "dt"} | CELLS),
+    (("td", "th"), ("td", "th"), ("table", *ARTICLE)),
+    (("tr",), ("tr",), ("table", *ARTICLE)),
+    (("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot", "caption", "colgroup"), ("table", *ARTICLE)),
+    (("option", "optgroup"), ("option",), ("select", "optgroup", *ARTICLE)),
+    (("button",), ("button",), ARTICLE),
+    (HEADINGS, HEADINGS, _BLOCKS - HEADINGS | CELLS),
+    (("body",), ("head",), ()),
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -41,84 +66,185 @@ _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def marked(attributes: str) -> bool:
+def marked(attributes: str) -> int:
+    """0 without a word that marks boilerplate, 2 if only words of discussions do, else 1. A word after has, with or no tells of another element."""
+    found = 0
     for m in _MARKED.finditer(attributes):
-        if any(w.lower() in MARKS for w in _WORDS.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            for before, w in zip(["", *words], words):
+                if w in MARKS and before not in TELLS:
+                    if w not in TALK:
+                        return 1
+                    found = 2
+    return found
+
+
+class _Tree:
+    """Elements in page order, their parents and last descendants, and the page's texts and block borders between them.
+
+    End tags that HTML lets pages omit are supplied: at the next block, row, cell or item, and at the end of the parent.
+    """
+
+    def __init__(self, page: str):
+        self.name, self.parent, self.last = [""], [-1], [0]
+        self.hard, self.marks, self.inside, self.begins = [False], [0], [False], [False]  # a boilerplate name, marks, in an article, begins an article
+        self.events: list[tuple[str, int, str]] = []  # open, close, text or end (a block's border), of which element
+        self._stack, self._count = [0], Counter()
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if m[3] is not None:
+                (self._end if m[2] == "/" else self._start)(m[3].lower(), m[4])
+            elif m[1] is None and m[0].startswith("<![CDATA["):
+                self._text(html.escape(m[0][9:].removesuffix("]]>")))
+        self._text(page[at:])
+        self._close(0)
+
+    def _text(self, text: str) -> None:
+        if self.name[self._stack[-1]] == "head" and not text.isspace() and text:
+            self._close(len(self._stack) - 1)
+        self.events.append(("text", self._stack[-1], text))
+
+    def _close(self, place: int) -> None:
+        """Closes the open elements from this place of the stack on."""
+        while len(self._stack) > place:
+            n = self._stack.pop()
+            self._count[self.name[n]] -= 1
+            self.last[n] = len(self.name) - 1
+            self.events.append(("close", n, ""))
+
+    def _find(self, names, stop) -> int:
+        """The place of the innermost open element of these names within the innermost of `stop`, or 0."""
+        if any(self._count[n] for n in names):
+            for i in range(len(self._stack) - 1, 0, -1):
+                name = self.name[self._stack[i]]
+                if name in names:
+                    return i
+                if name in stop:
+                    break
+        return 0
+
+    def _start(self, name: str, attributes: str) -> None:
+        if name in VOID:
+            if name in ("br", "hr"):
+                self.events.append(("text", self._stack[-1], " "))
+            return
+        if self.name[self._stack[-1]] == "head" and name not in ("title", "noscript", "script", "style", "template"):
+            self._close(len(self._stack) - 1)
+        for by, names, stop in IMPLIED:
+            if name in by and (i := self._find(names, stop)):
+                self._close(i)
+        if name == "a":
+            self._end_inline(name)
+        up = self._stack[-1]
+        begins = name in ARTICLE and not self.inside[up]
+        hard = name in DROPPED or name in BOILER or name == "header" and not self.inside[up]
+        marks = 0 if hard or begins or name in ("html", "body", "main") or not attributes else marked(attributes)
+        if attributes.endswith("/") and name not in ARTICLE:
+            if name not in INLINE and not hard and not marks:
+                self.events.append(("end", up, ""))
+            return
+        n = len(self.name)
+        self.name.append(name)
+        self.parent.append(up)
+        self.last.append(n)
+        self.hard.append(hard)
+        self.marks.append(marks)
+        self.inside.append(begins or self.inside[up])
+        self.begins.append(begins)
+        self._stack.append(n)
+        self._count[name] += 1
+        self.events.append(("open", n, ""))
+
+    def _end(self, name: str, _: str) -> None:
+        if name in INLINE:
+            return self._end_inline(name)
+        if name in ARTICLE:
+            stop = ()
+        elif name in BOILER or name in DROPPED:
+            stop = ARTICLE
+        else:
+            stop = ARTICLE | (LISTS if name == "li" else {"table"} if name in TABLE else frozenset() if name == "table" else CELLS)
+        if name not in ("html", "body") and (i := self._find(HEADINGS if name in HEADINGS else (name,), stop)):
+            self._close(i)
+        else:
+            self.events.append(("end", self._stack[-1], ""))
+
+    def _end_inline(self, name: str) -> None:
+        if i := self._find((name,), ARTICLE):
+            if all(self.name[n] in INLINE for n in self._stack[i + 1 :]):
+                self._close(i)
+            elif name in FORMATS:  # misnested: what it opened goes on without it
+                n = self._stack.pop(i)
+                self._count[name] -= 1
+                self.last[n] = len(self.name) - 1
+
+    def skipped(self) -> list[bool]:
+        """Whether each element is boilerplate: by its name, or by its marks if it holds no more than half of the plain text.
+
+        Plain text is text outside links and outside elements that are boilerplate by name, of the article that holds
+        the element or else of the page. Discussions may outgrow what they discuss: they stay only if all of it is theirs.
+        """
+        n = len(self.name)
+        link, hard, plain = [False] * n, [False] * n, [0] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            link[i] = link[up] or self.name[i] == "a"
+            hard[i] = self.hard[i] or hard[up] and not self.begins[i]
+        for kind, i, text in self.events:
+            if kind == "text" and not link[i] and not hard[i]:
+                plain[i] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            if not self.begins[i]:
+                plain[self.parent[i]] += plain[i]
+        out, top = [False] * n, [0] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            top[i] = i if self.begins[i] else top[up]
+            if self.begins[i]:
+                continue  # an article ends whatever was left open before it
+            out[i] = out[up] or self.hard[i]
+            if self.marks[i] and not out[i]:
+                own, all_ = plain[i], plain[top[i]]
+                out[i] = not (own and (own == all_ if self.marks[i] == 2 else 2 * own > all_))
+        return out
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside the article, a gap) of each block line outside boilerplate; boilerplate itself leaves gaps outside the article."""
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    article = 0  # depth of article and main elements
-    skip, depth = "", 0  # the boilerplate element that is open, and how many of its name
+    tree = _Tree(page)
+    skip = tree.skipped()
+    article = False
 
     def end_line() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, article > 0, False))
+                out.append((text, article, False))
 
     def gap() -> None:
         end_line()
-        out.extend([("", article > 0, True)] * WINDOW)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            if m[1] is None and m[0].startswith("<![CDATA[") and not skip:
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        name, closing = m[3].lower(), m[2] == "/"
-        if name in ARTICLE:
-            if closing:
-                if skip != name or depth <= 1:
-                    gap()
-                    article = max(0, article - 1)
-                    skip, depth = "", 0
-                else:
-                    depth -= 1
-            elif skip and (skip in ARTICLE or article):
-                depth += name == skip
-            elif name == "article" and marked(m[4]) and article:
-                end_line()
-                skip, depth = name, 1
-            else:
-                skip, depth = "", 0  # an article ends whatever was left open before it
-                gap()
-                article += 1
-            continue
-        if skip:
-            if name == skip and not m[4].endswith("/"):
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-            continue
-        if closing:
-            if name not in INLINE:
-                end_line()
-            continue
-        if name in VOID:
-            if name in ("br", "hr"):
-                parts.append(" ")
-            continue
-        boiler = name in DROPPED or name in BOILER or name == "header" and not article or name not in ("html", "body") and m[4] and marked(m[4])
-        if boiler:
-            if m[4].endswith("/"):
-                continue
-            if name not in INLINE:
-                end_line() if article else gap()
-            skip, depth = name, 1
-        elif name not in INLINE:
+        out.extend([("", article, True)] * WINDOW)
+
+    for kind, n, text in tree.events:
+        name, up = tree.name[n], tree.parent[n]
+        if kind == "text":
+            if not skip[n]:
+                parts.append(text)
+        elif skip[n]:
+            if kind == "open" and not skip[up] and name not in INLINE:
+                end_line() if tree.inside[n] else gap()
+        elif kind != "end" and name in ARTICLE:
+            gap()
+            article = tree.inside[n] if kind == "open" else tree.inside[up]
+        elif name not in INLINE or kind == "end":
             end_line()
-    if not skip:
-        parts.append(page[at:])
     end_line()
     return out
 

@@ -26,3 +26,20 @@ def test_rows(spark):
     rows = [(1, None, None), (1, "u", "<article>x</article>"), (None, "u", "")]
     got = sorted(map(str, extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
     assert got == sorted(["Row(page_id=1, url=None, text='', n_chars=0)", "Row(page_id=1, url='u', text='x', n_chars=1)", "Row(page_id=None, url='u', text='', n_chars=0)"])
+
+
+def test_end_tags_that_pages_omit():
+    assert main_text("<article><p class=ad>Buy<p>Two</p><p>Three</p></article>") == "Two Three"
+    assert main_text("<ul><li class=ad>Buy<li>Two<li>Three</ul>") == "Two Three"
+    assert main_text("<table><tr><td class=ad>Buy<td>Two<tr><td>Three</table>") == "Two Three"
+    assert main_text("<article><dl><dt>One<dd class=promo>Buy<dt>Two<dd>Three</dl></article>") == "One Two Three"
+    assert main_text("<div><nav>menu</div><p>Two") == "Two"
+    assert main_text("<head><title>T</title><body><p>Two") == "Two"
+
+
+def test_marked_wrappers_of_the_content_stay():
+    side = "<p>Long text of the page itself.</p><div class=sidebar>other</div>"
+    for mark in ("layout has-sidebar", "page with-banner", "nav-open"):
+        for around in ("<body>{}</body>", "<main>{}</main>"):
+            assert main_text(around.format(f"<div class='{mark}'>{side}</div>")) == "Long text of the page itself."
+    assert main_text("<article><p>Short.</p><div id=comments>a discussion that is longer</div></article>") == "Short."
