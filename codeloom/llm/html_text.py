@@ -3,7 +3,8 @@
 Markup is stripped into lines (one a block element). Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments weigh nothing, and a border of the article counts as a gap. Text lengths are summed over sliding
 windows of lines; a surge is where the sum leaves zero, a dive where it returns to zero, and the text between is kept:
-all runs inside the article or main element where the page has one, else the run with the most text.
+all runs inside the article or main element where the page has one. Elsewhere all runs are kept but short ones without
+a heading or a sentence before or after the text, outside the blocks that hold the longest run.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from .common import by_batch
 
 WINDOW = 3
+#: A run of this share of the longest is text by its length alone.
+SHARE = 0.1
 
 # Element names of HTML by what becomes of them, and words of class and id that mark boilerplate.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
@@ -213,29 +216,30 @@ class _Tree:
         return out
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside the article, a gap) of each block line outside boilerplate; boilerplate itself leaves gaps outside the article."""
-    out: list[tuple[str, bool, bool]] = []
+def lines_of(tree: _Tree) -> list[tuple[str, bool, int]]:
+    """(text, inside the article, its element) of each block line outside boilerplate; boilerplate itself leaves gaps outside the article: empty texts."""
+    out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    tree = _Tree(page)
     skip = tree.skipped()
-    article = False
+    article, holder = False, 0
 
     def end_line() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, article, False))
+                out.append((text, article, holder))
 
     def gap() -> None:
         end_line()
-        out.extend([("", article, True)] * WINDOW)
+        out.extend([("", article, 0)] * WINDOW)
 
     for kind, n, text in tree.events:
         name, up = tree.name[n], tree.parent[n]
         if kind == "text":
             if not skip[n]:
+                if not parts or not text.isspace() and "".join(parts).isspace():
+                    holder = n
                 parts.append(text)
         elif skip[n]:
             if kind == "open" and not skip[up] and name not in INLINE:
@@ -250,7 +254,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
+    tree = _Tree(page)
+    lines = lines_of(tree)
     weights = [len(t) for t, _, _ in lines]
     runs: list[tuple[int, int]] = []  # surge and dive
     total, start = 0, None
@@ -266,10 +271,38 @@ def main_text(page: str) -> str:
         runs.append((start, len(lines)))
     inside = [r for r in runs if any(lines[i][1] and weights[i] for i in range(r[0], min(r[1], len(lines))))]
     if not inside and runs:
-        inside = [max(runs, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))]
+        inside = _content(tree, lines, runs)
     return " ".join(lines[i][0] for a, b in inside for i in range(a, min(b, len(lines))) if weights[i])
 
 
+def _content(tree: _Tree, lines: list[tuple[str, bool, int]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs of a page without an article: all from the first to the last that is text of the page."""
+
+    def block(n: int) -> int:
+        while tree.name[n] in INLINE:
+            n = tree.parent[n]
+        return n
+
+    held = [[(t, block(n)) for t, _, n in lines[a:b] if t] for a, b in runs]
+    sizes = [sum(len(t) for t, _ in run) for run in held]
+    most = max(sizes)
+    # The blocks around the lines of the longest run, up to the first that holds them all; nothing is told by the body's.
+    around = [n if tree.name[n] in ("div", "section", "td", "body", "html", "") else tree.parent[n] for _, n in held[sizes.index(most)]]
+    low, high = min(around), max(around)
+    while tree.last[low] < high:
+        low = tree.parent[low]
+    shared = tree.name[low] not in ("body", "html", "")
+
+    def sentence(t: str) -> bool:
+        return " " in t and t.rstrip("\"'”’»)]").endswith((".", "!", "?", "…", ":", ";")) or t.endswith(("。", "！", "？"))
+
+    def text(k: int) -> bool:
+        return sizes[k] >= SHARE * most or any(shared and low <= n <= tree.last[low] or tree.name[n] in HEADINGS or sentence(t) for t, n in held[k])
+
+    kept = [k for k in range(len(runs)) if text(k)]
+    return runs[kept[0] : kept[-1] + 1]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page. Null and empty pages and pages without text give the empty text, 0 code points."""
     kinds = dict(pages.dtypes)

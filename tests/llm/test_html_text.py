@@ -43,3 +43,11 @@ def test_marked_wrappers_of_the_content_stay():
         for around in ("<body>{}</body>", "<main>{}</main>"):
             assert main_text(around.format(f"<div class='{mark}'>{side}</div>")) == "Long text of the page itself."
     assert main_text("<article><p>Short.</p><div id=comments>a discussion that is longer</div></article>") == "Short."
+
+
+def test_without_article_both_sides_of_boilerplate_stay():
+    for between in ("<aside>ad</aside>", "<form>mail</form>", "<div class=ad>Buy</div>", "<button>Share</button>", "<video>v</video>"):
+        assert main_text(f"<div class=content><h1>T</h1><p>AAAA</p>{between}<p>BBBB</p></div>") == "T AAAA BBBB"
+        assert main_text(f"<body><h1>T</h1>{between}<p>{'Some words. ' * 40}</p>{between}<p>word</p>{between}<p>The end.</p></body>") == f"T {'Some words. ' * 40}word The end."
+        assert main_text(f"<div><div class=content><p>{'Some words. ' * 40}</p>{between}<p>end</p></div><div>{between}x</div></div>") == f"{'Some words. ' * 40}end"
+    assert main_text("<table><tr><td>" + "word " * 40 + "<aside>ad</aside><p>end") == "word " * 40 + "end"
