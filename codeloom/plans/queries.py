@@ -278,13 +278,23 @@ SPANS_SQL = """spans as (select user_id as file, event_id as span_id, cast(floor
 points as (select user_id as file, event_id as point_id, cast(floor(value) as bigint) + event_id % 7 as at from events where event_type = 'click')"""
 
 
-@query("select point_id, arg_min(span_id, (end_at - start_at) * 1000000000000 + start_at * 1000000 + span_id) as span_id from points p left join spans s on p.file = s.file and s.start_at <= p.at and p.at <= s.end_at group by 1", SPANS_SQL)
-def enclosing_interval(spark, sf):
+def _intervals(spark, sf, asked):
     e = V.read(spark, sf, "events")
     at = F.floor("value").cast("long")
     spans = e.select(F.col("user_id").alias("file"), F.col("event_id").alias("span_id"), at.alias("start"), (at + F.col("event_id") % 40).alias("end"))
-    points = e.where("event_type = 'click'").select(F.col("user_id").alias("file"), F.col("event_id").alias("point_id"), (at + F.col("event_id") % 7).alias("at"))
-    return ranking.innermost(points, spans)
+    points = e.where(asked).select(F.col("user_id").alias("file"), F.col("event_id").alias("point_id"), (at + F.col("event_id") % 7).alias("at"))
+    return points, spans
+
+
+@query("select point_id, arg_min(span_id, (end_at - start_at) * 1000000000000 + start_at * 1000000 + span_id) as span_id from points p left join spans s on p.file = s.file and s.start_at <= p.at and p.at <= s.end_at group by 1", SPANS_SQL)
+def enclosing_interval(spark, sf):
+    return ranking.innermost(*_intervals(spark, sf, "event_type = 'click'"))
+
+
+# The same of every event. The SQL above stays as it is; this one differs from it by the filter alone.
+@query(ORACLES["enclosing_interval"].replace(" where event_type = 'click'", ""))
+def enclosing_interval_of_every_event(spark, sf):
+    return ranking.innermost(*_intervals(spark, sf, "true"))
 
 
 TEST_SQL = """(len(list_filter(string_split(array_to_string(string_split(lower({p}), '/')[:-2], '.'), '.'), lambda x: x in ('test', 'tests', 'testing', '__tests__', 'spec', 'specs'))) > 0
@@ -426,11 +436,11 @@ BINDINGS_SQL = """bound as (select user_id as file, 'v' || event_id % 5 as name,
 sites as (select event_id as site_id, user_id as file, 'v' || event_id % 5 as name, cast(floor(value) as bigint) + 3 as at from events where event_id % 4 = 0)"""
 
 
-def _bindings(spark, sf):
+def _bindings(spark, sf, asked="event_id % 4 = 0"):
     e, at = V.read(spark, sf, "events"), F.floor("value").cast("long")
     file, name = F.col("user_id").alias("file"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("name")
     made = e.select(file, name, F.when(F.col("event_type") != "view", F.col("event_type")).alias("type_name"), at.alias("scope_start"), (at + 5 + F.col("event_id") % 60).alias("scope_end"), (F.col("event_id") % 2).alias("frame_start"), (F.col("event_id") % 2).alias("frame_end"), (F.col("event_id") % 3 == 0).alias("parameter"))
-    return e.where("event_id % 4 = 0").select(F.col("event_id").alias("site_id"), file, name, (at + 3).alias("at")), made
+    return e.where(asked).select(F.col("event_id").alias("site_id"), file, name, (at + 3).alias("at")), made
 
 
 @query("""select s.site_id, k.type_name from sites s left join (select b.site_id, b.type_name from (
@@ -447,6 +457,17 @@ def rebound_sites(spark, sf):
     return bindings.bound(*_bindings(spark, sf), but_parameters=True).select("site_id")
 
 
+# The same of every event. The SQL above stays as it is; these differ from it by the filter alone.
+@query(ORACLES["declared_type_at"].replace(" where event_id % 4 = 0", ""))
+def declared_type_at_every_event(spark, sf):
+    return bindings.declared_types(*_bindings(spark, sf, "true"))
+
+
+@query(ORACLES["rebound_sites"].replace(" where event_id % 4 = 0", ""))
+def rebound_sites_of_every_event(spark, sf):
+    return bindings.bound(*_bindings(spark, sf, "true"), but_parameters=True).select("site_id")
+
+
 @query("select name, min(id) filter (where t) as type_id, min(qualified_name) filter (where t) as type_name from (select *, kind in ('class', 'record', 'interface', 'struct', 'enum', 'type') as t from v_symbols) group by 1 having count(*) filter (where t) = 1 and count(*) filter (where not t) = 0", V.SYMBOLS_SQL)
 def strict_unique_types(spark, sf):
     return bindings.unique_types(V.symbols(spark, sf), True)

@@ -1,5 +1,6 @@
 """Unit tests of what the driver's tables can't cover: receivers of paths and names, ignore rules, areas, streams."""
 
+import math
 import time
 
 import pytest
@@ -123,3 +124,17 @@ def test_stream_emits_a_path_once_a_burst(spark, tmp_path):
         run.stop()
     assert sorted(out) == [("a", "reindex"), ("b", "remove"), ("c", "reindex"), ("d", "remove")]
     assert pytest and graph and search
+
+
+def test_every_event_is_a_site_and_a_point(spark):
+    import __spark_entry__ as entry
+    from codeloom.plans import views
+
+    data = "/root/testdata/sf0.001"
+    events = [(r["user_id"], r["event_id"], math.floor(r["value"])) for r in views.read(spark, data, "events").collect()]
+    holding = lambda u, at: [(e % 40, v, e) for x, e, v in events if x == u and v <= at <= v + e % 40]
+    want = {e: min(holding(u, v + e % 7), default=(None,))[-1] for u, e, v in events}
+    assert {r["point_id"]: r["span_id"] for r in entry.queries()["enclosing_interval_of_every_event"](spark, data).collect()} == want
+    rebound = lambda u, e, v: any(x == u and f % 5 == e % 5 and f % 3 and w <= v + 3 <= w + 5 + f % 60 for x, f, w in events)
+    assert {r["site_id"] for r in entry.queries()["rebound_sites_of_every_event"](spark, data).collect()} == {e for u, e, v in events if rebound(u, e, v)}
+    assert {r["site_id"] for r in entry.queries()["declared_type_at_every_event"](spark, data).collect()} == {e for _, e, _ in events}
