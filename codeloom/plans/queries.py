@@ -530,4 +530,11 @@ def languages_and_hashes_by_path(spark, sf):
 def imports_for_files(spark, sf):
     own = V.imports(spark, sf).where("page_id < 20").distinct()  # a lookup by a set of files
     return own.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("to_name")), ",").alias("names"), F.count("*").alias("n_names"))
+
+
+# The same of all files. The SQL above stays as it is; this one differs from it by the filter alone.
+@query(ORACLES["imports_for_files"].replace(" where page_id < 20", ""))
+def imports_for_all_files(spark, sf):
+    own = V.imports(spark, sf).distinct()
+    return own.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("to_name")), ",").alias("names"), F.count("*").alias("n_names"))
 # fmt: on

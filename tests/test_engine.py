@@ -2,6 +2,7 @@
 
 import math
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,13 @@ def test_every_event_is_a_site_and_a_point(spark):
     rebound = lambda u, e, v: any(x == u and f % 5 == e % 5 and f % 3 and w <= v + 3 <= w + 5 + f % 60 for x, f, w in events)
     assert {r["site_id"] for r in entry.queries()["rebound_sites_of_every_event"](spark, data).collect()} == {e for u, e, v in events if rebound(u, e, v)}
     assert {r["site_id"] for r in entry.queries()["declared_type_at_every_event"](spark, data).collect()} == {e for _, e, _ in events}
+
+
+def test_imports_of_all_files(spark):
+    import __spark_entry__ as entry
+    from codeloom.plans import views
+
+    data = "/root/testdata/sf0.001"
+    want = {(r["page_id"], r["to_name"]) for r in views.imports(spark, data).collect()}
+    got = entry.queries()["imports_for_all_files"](spark, data).collect()
+    assert {r["page_id"]: r["n_names"] for r in got} == Counter(p for p, _ in want) and max(p for p, _ in want) >= 20
