@@ -149,3 +149,10 @@ def test_imports_of_all_files(spark):
     want = {(r["page_id"], r["to_name"]) for r in views.imports(spark, data).collect()}
     got = entry.queries()["imports_for_all_files"](spark, data).collect()
     assert {r["page_id"]: r["n_names"] for r in got} == Counter(p for p, _ in want) and max(p for p, _ in want) >= 20
+
+
+def test_small_top_level_directory_beside_many_larger_ones(spark):
+    wide = spark.range(9**4 * 4).select(F.concat(F.lit("src"), *[x for k in range(4) for x in (F.lit("/d"), (F.col("id") / 4 / 9**k).cast("long") % 9)], F.lit("/f"), F.col("id") % 4).alias("path"))
+    files = wide.unionAll(spark.createDataFrame([("docs/a.md",), ("docs/b.md",), ("docs/c.md",)], "path string"))
+    found = areas.areas_of(files)
+    assert "docs" in found and files.where(areas.area_of("path", found).isNull()).count() == 0
