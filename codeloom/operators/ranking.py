@@ -34,16 +34,19 @@ def first_of_files(symbols: DataFrame, limit: int) -> DataFrame:
     return ranked.join(totals, F.col("file_path") == F.col("f")).select("file_path", "id", "rn", "total")
 
 
-def depths(symbols: DataFrame, most: int = 16) -> DataFrame:
-    """id, depth, root of each symbol along its containers. Joins as deep as the deepest nesting, which is bounded."""
+def depths(symbols: DataFrame) -> DataFrame:
+    """id, depth, root of each symbol along its containers. As many joins as the deepest nesting; a cycle is an error."""
     parents = symbols.select(F.col("id").alias("p_id"), F.col("container_id").alias("p_up"))
     known = symbols.select("id", F.col("container_id").alias("up"), F.col("id").alias("root"), F.lit(0).alias("depth"))
     done = None
-    for _ in range(most):
+    while True:
         over = known.where("up is null")
         done = over if done is None else done.unionByName(over)
         known = known.where("up is not null").join(parents, F.col("up") == F.col("p_id")).select("id", F.col("p_up").alias("up"), F.col("p_id").alias("root"), (F.col("depth") + 1).alias("depth"))
-        if known.isEmpty():
+        left = known.agg(F.count("*").alias("n"), F.min(F.when(F.col("root") == F.col("id"), F.col("id"))).alias("again")).head()
+        if left["again"] is not None:  # met on each cycle after as many joins as it has symbols
+            raise ValueError(f"a symbol contains itself: {left['again']}")
+        if not left["n"]:
             break
     return done.select("id", "depth", "root")
 

@@ -156,3 +156,10 @@ def test_small_top_level_directory_beside_many_larger_ones(spark):
     files = wide.unionAll(spark.createDataFrame([("docs/a.md",), ("docs/b.md",), ("docs/c.md",)], "path string"))
     found = areas.areas_of(files)
     assert "docs" in found and files.where(areas.area_of("path", found).isNull()).count() == 0
+
+
+def test_depths_of_deep_nesting_and_cycles(spark):
+    chain = spark.createDataFrame([(f"s{k:02}", f"s{k - 1:02}" if k else None) for k in range(19)], "id string, container_id string")
+    assert {tuple(r) for r in ranking.depths(chain).collect()} == {(f"s{k:02}", k, "s00") for k in range(19)}
+    with pytest.raises(ValueError):
+        ranking.depths(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, container_id string"))
