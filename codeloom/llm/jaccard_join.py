@@ -6,7 +6,10 @@ Level 0. Text documents lie at distance 1 from nearly every other, so a document
 shingles in the order of their hashes, and a document's Voronoi region is that of its first shingle in this order. A
 neighbour within the radius lacks a quarter of the union at most, so a document is replicated into the regions of
 its first `REGIONS` shingles; that two neighbours share none of them has a chance of 4 ** -REGIONS or less, far below
-that of two equal 64-bit hashes, and documents of REGIONS shingles or fewer are in all of their regions.
+that of two equal 64-bit hashes, and documents of REGIONS shingles or fewer are in all of their regions. A pair is
+compared from the first uncrowded region that both share. Of two larger documents of which one lies in uncrowded
+regions for the half at least, a link is lost only if they share REGIONS / 2 regions or fewer, with a chance of 2e-4 at
+most, and all of these are crowded as well.
 
 Regions of few documents are joined at once. Documents lying mostly in crowded regions (common passages, thousands of
 near copies) go on to level 1 and further: pivots are documents, distances to them are measured, and those within the
@@ -98,11 +101,11 @@ def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _pairs_in(regions: DataFrame) -> DataFrame:
-    """a < b, shared regions, of the members (region, node, n) of uncrowded regions, whose sizes let them link."""
+    """a < b, once a pair, of the members (region, node, n) of uncrowded regions, whose sizes let them link."""
     one = regions.select("region", F.col("node").alias("a"), F.col("n").alias("an"))
     two = regions.select(F.col("region").alias("r"), F.col("node").alias("b"), F.col("n").alias("bn"))
     sizes = (F.col("an") * DEN >= F.col("bn") * NUM) & (F.col("bn") * DEN >= F.col("an") * NUM)
-    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & sizes).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared"))
+    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -116,11 +119,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = cut(entries.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members"))
     crowded = shared.groupBy("node").agg(F.sum(F.when(F.col("members") > CROWDED, 1).otherwise(0)).alias("crowd"), F.max("n").alias("n"))
     heavy = cut(crowded.where(2 * F.col("crowd") > F.least(F.col("n"), F.lit(REGIONS))).select(F.col("node").alias("h")))
-    pairs = _pairs_in(shared.where(F.col("members") <= CROWDED))
-    # Of a linked pair's first regions three in four are expected in common; small sets are all there, so count them exactly.
-    both_whole = (F.col("an") <= REGIONS) & (F.col("bn") <= REGIONS)
-    expected = F.when(both_whole, 1).otherwise(F.when((F.col("an") >= REGIONS) & (F.col("bn") >= REGIONS), 3).otherwise(1))
-    pairs = cut(pairs.where(F.col("shared") >= expected).select("a", "b"))
+    # Compared from the first shared uncrowded region on.
+    pairs = cut(_pairs_in(shared.where(F.col("members") <= CROWDED)))
     busy = shared.where(F.col("members") > CROWDED).join(heavy, F.col("node") == F.col("h"), "left_semi")
     own = busy.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_list("region")), 1, CROWDED_REGIONS).alias("regions"))
     busy = cut(own.select(F.explode("regions").alias("region"), "node", "n"))
@@ -148,7 +148,7 @@ def _crowded_links(busy: DataFrame, sets: DataFrame) -> list[DataFrame]:
         counts = busy.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members"))
         met = busy.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members")
         met = cut(met.where("members > 1"))
-        pairs = cut(_pairs_in(met.where(F.col("members") <= CROWDED)).select("a", "b"))
+        pairs = cut(_pairs_in(met.where(F.col("members") <= CROWDED)))
         if pairs.head(1):
             links.append(cut(_verify(pairs, sets).where("ok").select("a", "b")))
         busy = met.where(F.col("members") > CROWDED).select("region", "node", "n")

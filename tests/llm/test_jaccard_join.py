@@ -84,3 +84,16 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (5, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
+
+
+def test_one_shared_region_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "REGIONS", 4)
+    texts = {}
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(100)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[:79])
+    first = {i: set(jaccard_join.shingle_set(t)[:4].tolist()) for i, t in texts.items()}
+    want = {(2 * k + 1, 2 * k) for k in range(40) if first[2 * k] & first[2 * k + 1]}
+    assert any(len(first[b] & first[a]) < 3 for a, b in want)
+    links = jaccard_join.near_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))[1]
+    assert {(max(r), min(r)) for r in links.select("a", "b").collect()} == want
