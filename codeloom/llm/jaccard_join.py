@@ -1,27 +1,26 @@
-"""Operator 5: Jaccard join of documents' shingle sets in metric space.
-
-Jaccard distance is a metric, and two documents link within RADIUS of each other. Equal sets fall together first.
-
-Level 0. Text documents lie at distance 1 from nearly every other, so a document is no pivot here: the pivots are single
-shingles in the order of their hashes, and a document's Voronoi region is that of its first shingle in this order. A
-neighbour within the radius lacks a quarter of the union at most, so a document is replicated into the regions of
-its first `REGIONS` shingles; that two neighbours share none of them has a chance of 4 ** -REGIONS or less, far below
-that of two equal 64-bit hashes, and documents of REGIONS shingles or fewer are in all of their regions. A pair is
-compared from the first uncrowded region that both share. Of two larger documents of which one lies in uncrowded
-regions for the half at least, a link is lost only if they share REGIONS / 2 regions or fewer, with a chance of 2e-4 at
-most, and all of these are crowded as well.
-
-Regions of few documents are joined at once. Documents lying mostly in crowded regions (common passages, thousands of
-near copies) go on to level 1 and further: pivots are documents, distances to them are measured, and those within the
-radius of a pivot are linked to it and leave. By the triangle inequality a neighbour y of a document x in the ball of
-p has d(y, p) <= 2 * RADIUS and d(x, p) >= d(y, p) - RADIUS; these windows at the border are compared where components
-still differ. Regions shrink from level to level; what is left of crowded ones is compared block by block.
-Every link is verified on whole sets.
+"""Operator 5: exact Jaccard join of documents' shingle sets in metric space.
+
+Jaccard distance d is a metric; two documents link within RADIUS of each other. Equal sets fall together first.
+
+Who can link. Within the radius of x lies no set that lacks more than a quarter of x. A document of whose shingles less
+than three quarters occur in other documents (`repeats`) is therefore alone, and most documents are.
+
+Where they meet. All shingles have one order, those of many documents last. Two linked sets share one of the first
+n - ceil(0.75 n) + 1 of either, so a document enters the regions of so many shingles: each linked pair has a region.
+
+Level after level, each region names a member as its pivot. Members are measured against the pivots of their regions,
+and a document within the radius of pivots joins the Voronoi cell of the nearest, is linked to it and leaves. If x lies
+in the cell of p and y is linked to x, then d(y, p) <= 2 * RADIUS and d(x, p) >= d(y, p) - RADIUS. So the other members
+of a region are measured against the pivots of all cells that the region has, and those between the radius and twice
+the radius are replicated to the cell and compared with the members in the window, if not linked to the pivot in
+another way by then. Documents without a cell make smaller regions for the next level: small ones are compared at once,
+others get new pivots, and what is crowded after LEVELS levels is compared block by block within the region.
+
+Every step follows from the threshold alone, so no link is lost; every link is verified on whole sets, in integers.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut
 from .components import components
+from .repeats import repeated_shingles
 from .shingles import shingle_set
 
 #: Least likeness as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
-REGIONS = 48
-#: A region with more distinct sets is crowded.
+#: A region with more members is crowded; shingles of more documents come last in the order.
 CROWDED = 64
-#: Of its crowded regions a document enters so many, the first in one order for all; a linked pair shares none of them with a chance of 4 ** -CROWDED_REGIONS.
-CROWDED_REGIONS = 24
-PIVOTS, LEVELS = 4, 2
+LEVELS = 3
 BLOCK = 256
 #: Lists of ids up to this many are broadcast (some 40 MB); longer ones are joined by shuffles.
 BROADCAST_IDS = 2_000_000
@@ -52,19 +49,24 @@ def linked(shared, a, b):
     return DEN * shared >= NUM * (a + b - shared)
 
 
+def _bounded(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table, broadcast where it is short."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _sets(rows: DataFrame) -> DataFrame:
-    """node, n, set of rows (node, text); rows of one node are united."""
+    """node, n, set of rows (node, text); empty sets are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(b.column(1)[i].as_py()).view(np.int64) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "set"])
 
-    return rows.mapInArrow(run, "node long, n long, set array<long>")
+    return rows.mapInArrow(run, "node long, n long, set array<long>").where("n > 0")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, likeness of pairs(a, b): the exact share of the union that both have, and whether they link."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, likeness, ok of pairs(a, b): the share of the union that both have, and whether they link, exactly."""
     one = sets.select(F.col("node").alias("na"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("nb"), F.col("set").alias("sb"))
     met = pairs.select("a", "b").join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
@@ -83,128 +85,104 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, likeness double, ok boolean")
 
 
-def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, digest (of the set; null if empty), first (its REGIONS smallest hashes) of every row."""
+def _regions(sets: DataFrame) -> DataFrame:
+    """region, node, n: each set in the regions of as many of its first shingles as the threshold asks for."""
+    entries = sets.select("node", F.explode("set").alias("region"))
+    common = cut(entries.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where(F.col("members") > CROWDED).select("r"))
+    held = entries.join(_bounded(common), F.col("region") == F.col("r")).groupBy(F.col("node").alias("h")).agg(F.collect_set("region").alias("late"))
+    met = sets.join(held, F.col("node") == F.col("h"), "left").select("node", "set", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, first = [], [], []
+            nodes, regions, sizes = [], [], []
             for i in range(b.num_rows):
-                # In the unsigned order the smallest come first; a set is stored as signed numbers.
-                s = shingle_set(b.column(1)[i].as_py())
-                n.append(len(s))
-                digest.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                first.append(s[:REGIONS].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "first"])
+                own, late = b.column(1)[i].values.to_numpy(), b.column(2)[i]
+                n = len(own)
+                if late.is_valid:
+                    last = np.isin(own, late.values.to_numpy())
+                    own = np.concatenate([own[~last], own[last]])
+                first = own[: n - -(-NUM * n // DEN) + 1]
+                regions.append(first)
+                nodes.append(np.full(len(first), b.column(0)[i].as_py(), np.int64))
+                sizes.append(np.full(len(first), n, np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, nodes, sizes)], ["region", "node", "n"])
 
-    return ready(docs.sparkSession) and docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n_shingles long, digest binary, first array<long>")
+    return met.mapInArrow(run, "region long, node long, n long")
 
 
-def _pairs_in(regions: DataFrame) -> DataFrame:
-    """a < b, once a pair, of the members (region, node, n) of uncrowded regions, whose sizes let them link."""
-    one = regions.select("region", F.col("node").alias("a"), F.col("n").alias("an"))
-    two = regions.select(F.col("region").alias("r"), F.col("node").alias("b"), F.col("n").alias("bn"))
-    sizes = (F.col("an") * DEN >= F.col("bn") * NUM) & (F.col("bn") * DEN >= F.col("an") * NUM)
-    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+def _shared_regions(regions: DataFrame) -> DataFrame:
+    """The regions of two members or more, with their number."""
+    counts = regions.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where("members > 1")
+    return regions.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members")
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: id, n_shingles, digest, node; links: a, b between nodes). A node stands for the rows with equal sets: their smallest id."""
-    spark = docs.sparkSession
-    rows = cut(shingled(docs, id_col, text_col))
-    classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("node"))
-    rows = cut(rows.join(classes, F.col("digest") == F.col("d"), "left").select("id", "n_shingles", "digest", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"), F.when(F.col("id") == F.col("node"), F.col("first")).alias("first")))
-    entries = rows.where("first is not null").dropDuplicates(["id", "digest"]).select(F.explode("first").alias("region"), "node", F.col("n_shingles").alias("n"))
-    counts = entries.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(entries.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members"))
-    crowded = shared.groupBy("node").agg(F.sum(F.when(F.col("members") > CROWDED, 1).otherwise(0)).alias("crowd"), F.max("n").alias("n"))
-    heavy = cut(crowded.where(2 * F.col("crowd") > F.least(F.col("n"), F.lit(REGIONS))).select(F.col("node").alias("h")))
-    # Compared from the first shared uncrowded region on.
-    pairs = cut(_pairs_in(shared.where(F.col("members") <= CROWDED)))
-    busy = shared.where(F.col("members") > CROWDED).join(heavy, F.col("node") == F.col("h"), "left_semi")
-    own = busy.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_list("region")), 1, CROWDED_REGIONS).alias("regions"))
-    busy = cut(own.select(F.explode("regions").alias("region"), "node", "n"))
-    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(busy.select("node")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = own.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    sets = cut(_sets(texts))
-    links = [cut(_verify(pairs, sets).where("ok").select("a", "b"))]
-    if busy.head(1):
-        # Few sets are compared again and again, so they are taken apart from the others.
-        links += _crowded_links(busy, cut(sets.join(busy.select(F.col("node").alias("h")).distinct(), F.col("node") == F.col("h"), "left_semi")))
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    # Rows of one id are one document.
-    again = rows.where("node is not null and node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    return rows, out.unionByName(again)
+def _sizes_near(an: str, bn: str, num: int = NUM):
+    """Whether sets of so many members can be as like as num / DEN."""
+    return (F.col(an) * DEN >= F.col(bn) * num) & (F.col(bn) * DEN >= F.col(an) * num)
 
 
-def _crowded_links(busy: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Links between documents of crowded regions, by pivots level after level."""
-    links, near = [], None
-    for level in range(LEVELS):
-        counts = busy.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members"))
-        met = busy.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members")
-        met = cut(met.where("members > 1"))
-        pairs = cut(_pairs_in(met.where(F.col("members") <= CROWDED)))
-        if pairs.head(1):
-            links.append(cut(_verify(pairs, sets).where("ok").select("a", "b")))
-        busy = met.where(F.col("members") > CROWDED).select("region", "node", "n")
-        if not busy.head(1):
-            return links + _border(near, links, sets)
-        # The pivots of a region: its members with the smallest hashes, a bounded list that is combined before the shuffle.
-        ranked = busy.select("region", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PIVOTS)).alias("slot"), F.struct(F.xxhash64("node", F.lit(level + 1000)).alias("h"), "node").alias("x"))
-        pivots = ranked.groupBy("region", "slot").agg(F.min("x").alias("x")).select(F.col("x.node").alias("pivot")).distinct()
-        # A document is measured against every pivot that shares a crowded region with it, in a list, not a row for each region.
-        listed = busy.join(pivots, F.col("node") == F.col("pivot")).groupBy(F.col("region").alias("r")).agg(F.collect_set("pivot").alias("pivots"))
-        own = busy.join(listed, F.col("region") == F.col("r")).groupBy(F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
-        measured = cut(_verify(own.select("a", F.explode("pivots").alias("b")), sets))
-        links.append(measured.where("ok and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        kept = measured.where(F.col("likeness") >= 1 - 2 * (1 - NUM / DEN) - 1e-9)
-        near = kept if near is None else near.unionByName(kept)
-        gone = measured.where("ok").select(F.col("a").alias("g")).distinct()
-        busy = cut(busy.join(gone, F.col("node") == F.col("g"), "left_anti"))
-    if busy.head(1):
-        links.append(_by_blocks(busy.select("node").distinct(), sets))
-    return links + _border(near, links, sets)
-
-
-def _border(near: DataFrame | None, links: list[DataFrame], sets: DataFrame) -> list[DataFrame]:
-    """Links between a pivot's region and documents just outside, which the triangle inequality can't rule out.
-
-    A document within the radius of pivots lies in the Voronoi region of its nearest; each pair is compared there alone.
-    """
-    if near is None:
-        return []
-    known = links[0]
-    for x in links[1:]:
-        known = known.unionByName(x)
-    roots = cut(components(known))
-    root = lambda df, at, name: df.join(roots.select(F.col("node").alias(f"_{name}"), F.col("root").alias(name)), F.col(at) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, at)).drop(f"_{name}")
-    near = cut(root(root(near, "a", "own"), "b", "of"))
-    outside = near.where("not ok and own <> of").select(F.col("b").alias("p"), F.col("a").alias("node"), "likeness", F.col("own").alias("root"))
-    nearest = near.where("ok").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("likeness", (-F.col("b")).alias("m"))).alias("best"), F.first("own").alias("root"))
-    inside = nearest.select((-F.col("best.m")).alias("p"), "node", F.col("best.likeness").alias("likeness"), "root")
-    asked = outside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_out"), F.max("likeness").alias("most"))
-    size = inside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_in")).join(asked, "q").select("q", F.ceil(F.col("n_in") / BLOCK).cast("int").alias("ins"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("outs"), "most")
-    size = cut(size)
+def _pairs_in(regions: DataFrame) -> DataFrame:
+    """a < b, once a pair, of the members of small regions, whose sizes let them link."""
+    one = regions.select("region", F.col("node").alias("a"), F.col("n").alias("an"))
+    two = regions.select(F.col("region").alias("r"), F.col("node").alias("b"), F.col("n").alias("bn"))
+    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & _sizes_near("an", "bn")).select("a", "b").distinct()
+
+
+def _by_pivots(met: DataFrame, sets: DataFrame, level: int) -> tuple[list[DataFrame], DataFrame]:
+    """(links, regions without the documents that lie in cells now) of shared regions."""
+    wide = 2 * NUM - DEN  # likeness at twice the radius
+    draw = F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node", "n")
+    pivots = cut(met.groupBy(F.col("region").alias("r")).agg(F.min(draw).alias("x")).select("r", F.col("x.node").alias("p"), F.col("x.n").alias("pn")))
+    asked = met.join(pivots, (F.col("region") == F.col("r")) & (F.col("node") != F.col("p")) & _sizes_near("n", "pn", wide))
+    first = cut(_measured(asked.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), sets))
+    near = first.where("ok").select("a", "b")
+    # The cell of a document is that of its nearest pivot; a pivot has its own.
+    nearest = first.where("ok").groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("cell"), F.max("likeness").alias("inside"))
+    alone = pivots.select(F.col("p").alias("x"), F.col("p").alias("cell"), F.lit(1.0).alias("inside")).distinct()
+    cells = cut(alone.unionByName(nearest.join(alone.select(F.col("x").alias("q")), F.col("x") == F.col("q"), "left_anti")))
+    roots = cut(components(near))
+    known = lambda df, c, name: df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias(name)), F.col(c) == F.col("_n"), "left").withColumn(name, F.coalesce(name, c)).drop("_n")
+    placed = cut(known(met.join(cells.select("x", "cell"), F.col("node") == F.col("x"), "left"), "node", "root").select("region", "node", "n", "cell", "root"))
+    # Members against the pivots of the other cells of a region, unless linked already.
+    held = placed.where("cell is not null").select(F.col("region").alias("r"), F.col("cell").alias("p"), F.col("root").alias("proot")).distinct()
+    others = placed.join(held, (F.col("region") == F.col("r")) & (F.col("root") != F.col("proot"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+    others = others.join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
+    second = cut(_measured(others, sets))
+    links = [near, second.where("ok").select("a", "b")]
+    border = first.unionByName(second).where(~F.col("ok") & (F.col("likeness") >= wide / DEN - 1e-9))
+    border = cut(known(known(border, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("b").alias("p"), F.col("a").alias("node"), "likeness").distinct())
+    if border.head(1):
+        links.append(_across(border, cells, sets))
+    left = placed.where("cell is null").select("region", "node", "n")
+    return links, left
+
+
+def _across(border: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between documents (p, node, likeness) at the border of cells and the members in the window, block by block."""
     block = lambda of: F.pmod(F.xxhash64("node", F.lit(7)), F.col(of)).cast("int")
-    # The window: d(x, p) >= d(y, p) - RADIUS for some y outside, written with likenesses.
-    window = F.col("likeness") <= F.col("most") + (1 - NUM / DEN) + 1e-9
-    left = inside.join(size, F.col("p") == F.col("q")).where(window).select("p", "node", "likeness", "root", F.lit(0).alias("side"), block("ins").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"))
-    right = outside.join(size, F.col("p") == F.col("q")).select("p", "node", "likeness", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"), block("outs").alias("j"))
-    dealt = left.unionByName(right).join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("p", "i", "j", "side", "node", "likeness", "root", "set")
+    asked = border.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_out"), F.max("likeness").alias("most"))
+    # The window: d(x, p) >= d(y, p) - RADIUS for some y at the border, written with likenesses.
+    inside = cells.where("x <> cell").join(asked, (F.col("cell") == F.col("q")) & (F.col("inside") <= F.col("most") + (1 - NUM / DEN) + 1e-9)).select(F.col("cell").alias("p"), F.col("x").alias("node"))
+    inside = cut(inside)
+    size = inside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_in")).join(asked, "q").select("q", F.ceil(F.col("n_in") / BLOCK).cast("int").alias("ins"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("outs"))
+    size = cut(size)
+    left = inside.join(size, F.col("p") == F.col("q")).select("p", "node", F.lit(0).alias("side"), block("ins").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"))
+    right = border.join(size, F.col("p") == F.col("q")).select("p", "node", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"), block("outs").alias("j"))
+    dealt = left.unionByName(right).join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("p", "i", "j", "side", "node", "set")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        shared, a, b = _shared(x["set"], y["set"])
-        near = linked(shared, a[:, None], b[None, :]) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
-        i, j = np.nonzero(near)
-        return _pairs(x["node"].to_numpy()[i], y["node"].to_numpy()[j])
+        return _links_between(x, y)
+
+    return cut(dealt.groupBy("p", "i", "j").applyInPandas(compare, "a long, b long"))
 
-    return [cut(dealt.groupBy("p", "i", "j").applyInPandas(compare, "a long, b long"))]
+
+def _links_between(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    shared, a, b = _shared(x["set"], y["set"])
+    i, j = np.nonzero(linked(shared, a[:, None], b[None, :]))
+    p, q = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.maximum(p, q).astype(np.int64), "b": np.minimum(p, q).astype(np.int64)})[p != q]
 
 
 def _shared(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,49 +203,82 @@ def _shared(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray,
     step = 1 << 12
     for start in range(0, int((here & there).sum()), step):
         lo, hi = np.searchsorted(inverse, [start, start + step])
-        table = np.zeros((len(rows), min(step, int(inverse[-1]) + 1 - start)), np.float32)
-        table[at[lo:hi], inverse[lo:hi] - start] = 1
-        shared += table[: len(left)] @ table[len(left) :].T
+        grid = np.zeros((len(rows), min(step, int(inverse[-1]) + 1 - start)), np.float32)
+        grid[at[lo:hi], inverse[lo:hi] - start] = 1
+        shared += grid[: len(left)] @ grid[len(left) :].T
     return shared, size[: len(left)], size[len(left) :]
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.maximum(x, y).astype(np.int64), "b": np.minimum(x, y).astype(np.int64)})[x != y]
+def _by_blocks(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within crowded regions, one pair of bounded blocks a task."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    held = met.select("region", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("own"))
+    dealt = held.select("region", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("region", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("region", "i", "j", "own", "node", "set")
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _links_between(pdf[pdf["own"] == pdf["i"].iat[0]], pdf[pdf["own"] == pdf["j"].iat[0]])
 
-def _by_blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among nodes that no pivot has parted, one pair of bounded blocks a task."""
-    blocks = max(1, -(-nodes.count() // BLOCK))
-    held = sets.join(nodes.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = held.select("node", "set", "own", other.alias("other")).select("node", "set", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return cut(dealt.groupBy("region", "i", "j").applyInPandas(compare, "a long, b long"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        shared, a, b = _shared(left["set"], right["set"])
-        i, j = np.nonzero(linked(shared, a[:, None], b[None, :]))
-        return _pairs(left["node"].to_numpy()[i], right["node"].to_numpy()[j])
 
-    return cut(dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long"))
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows: id, n_shingles, node; links: a, b between nodes). A node stands for the rows with equal sets: their smallest id; one
+    without a set for itself.
+
+    The links join all linked documents, but need not hold every linked pair of one component.
+    """
+    rows = cut(repeated_shingles(docs, id_col, text_col))
+    named = rows.where("digest is not null and id is not null")
+    classes = cut(named.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("node"), F.max((DEN * F.col("repeated") >= NUM * F.col("n_shingles"))).alias("social")))
+    out = rows.join(classes, F.col("digest") == F.col("d"), "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node"))
+    # Rows of one id are one document.
+    either = F.coalesce("digest", F.lit(b""))
+    texts_of_id = rows.where("id is not null").groupBy("id").agg(F.min(either).alias("one"), F.max(either).alias("other")).where("one <> other").select(F.col("id").alias("twice"))
+    links = [named.join(_bounded(cut(texts_of_id)), F.col("id") == F.col("twice")).join(classes, F.col("digest") == F.col("d")).select(F.col("id").alias("a"), F.col("node").alias("b"))]
+    wanted = _bounded(cut(classes.where("social").select("node").distinct()))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
+    sets = cut(_sets(texts.dropDuplicates(["node", "text"])))
+    regions = _regions(sets)
+    for level in range(LEVELS):
+        met = cut(_shared_regions(regions))
+        if level:
+            small = cut(_pairs_in(met.where(F.col("members") <= CROWDED)))
+            links.append(cut(_measured(small, sets).where("ok").select("a", "b")))
+            met = met.where(F.col("members") > CROWDED)
+        if not met.head(1):
+            break
+        found, regions = _by_pivots(met, sets, level)
+        links += found
+    else:
+        met = cut(_shared_regions(regions))
+        links.append(cut(_measured(_pairs_in(met.where(F.col("members") <= CROWDED)), sets).where("ok").select("a", "b")))
+        if met.where(F.col("members") > CROWDED).head(1):
+            links.append(_by_blocks(met.where(F.col("members") > CROWDED), sets))
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    return out, every
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row.
 
     Null, empty and blank texts have empty sets: 0 shingles, their own id as the component. Rows of equal ids are one
-    document; rows with a null id link with nothing and have a null component. An empty table gives no rows.
+    document; rows with a null id link with nothing and have a null component. An empty table gives no rows; other
+    columns of any name are left out; texts are taken whole, however long.
     """
     kind = dict(docs.dtypes)[id_col]
     rows, links = near_links(docs, id_col, text_col)
-    roots = components(links)
-    named = rows.join(roots.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left")
-    return named.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("root", "id").cast(kind).alias("component_id"))
+    roots = components(links).withColumnRenamed("node", "_node")
+    named = rows.join(_bounded(cut(roots)), F.col("node") == F.col("_node"), "left")
+    return named.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("root", "node").cast(kind).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, of the smallest id of each component; equal rows stay together, null ids all stay."""
     rows, links = near_links(docs, id_col, text_col)
-    gone = components(links).where("node <> root").select(F.col("node").alias("_gone"))
-    few = cut(gone.distinct())
-    return docs.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, docs[id_col] == F.col("_gone"), "left_anti")
+    roots = _bounded(cut(components(links).withColumnRenamed("node", "_node")))
+    gone = rows.join(roots, F.col("node") == F.col("_node"), "left").where(F.coalesce("root", "node") != F.col("id")).select(F.col("id").alias("_gone")).distinct()
+    return docs.join(_bounded(cut(gone)), docs[id_col] == F.col("_gone"), "left_anti")

@@ -86,14 +86,49 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
 
 
-def test_one_shared_region_is_enough(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "REGIONS", 4)
+def test_every_pair_at_the_border_links(spark):
     texts = {}
     for k in range(40):
         words = [f"w{k}x{i}" for i in range(100)]
         texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[:79])
-    first = {i: set(jaccard_join.shingle_set(t)[:4].tolist()) for i, t in texts.items()}
-    want = {(2 * k + 1, 2 * k) for k in range(40) if first[2 * k] & first[2 * k + 1]}
-    assert any(len(first[b] & first[a]) < 3 for a, b in want)
     links = jaccard_join.near_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))[1]
-    assert {(max(r), min(r)) for r in links.select("a", "b").collect()} == want
+    assert {(max(r), min(r)) for r in links.select("a", "b").collect()} == {(2 * k + 1, 2 * k) for k in range(40)}
+
+
+def test_crowded_template_loses_no_link(spark):
+    """A template of 300 shingles in 80 documents that differ, and documents of 400 that hold it: likeness 0.75 exactly."""
+    template = [f"t{i}" for i in range(304)]
+    texts = [" ".join(template)]
+    texts += [" ".join(template + [f"m{k}x{i}" for i in range(101 + k % 3)]) for k in range(80)]
+    texts += [" ".join(template + [f"z{k}x{i}" for i in range(100)]) for k in range(3)]
+    rows = list(enumerate(texts))
+    got = jaccard_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute(rows)
+    assert [x[2] for x in want[-3:]] == [0, 0, 0]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_large_groups_with_shipped_bounds(spark):
+    rows = corpus(9, [(150, 80, 4), (90, 60, 9), (100, 150, 60)], 120, 0.9)
+    got = jaccard_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_clashing_columns_and_empty_texts_of_one_id(spark):
+    rows = [(5, "a b c d e f g", 1, 2), (2, "a b c d e f g", 3, 4), (5, "", 5, 6), (7, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, region long, `set` long")
+    assert sorted(tuple(r) for r in jaccard_join.join_classes(docs).collect()) == [(2, 3, 2), (5, 0, 2), (5, 3, 2), (7, 0, 7)]
+
+
+def test_repeated_shingles_equal_a_plain_count(spark, monkeypatch):
+    from codeloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "PACK", 400)
+    rows = corpus(3, [(6, 40, 3), (2, 90, 5)], 40, 0.4)
+    got = {r["id"]: (r["n_shingles"], r["repeated"]) for r in repeats.repeated_shingles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").collect()}
+    sets = {i: plain_set(t) for i, t in rows}
+    for i, s in sets.items():
+        least = sum(any(x in o for o in sets.values() if o != s) for x in s)
+        assert got[i][0] == len(s) and least <= got[i][1] <= len(s)
+        if not any(o == s for j, o in sets.items() if j != i):
+            assert got[i][1] == least
