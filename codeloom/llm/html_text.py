@@ -3,8 +3,12 @@
 Markup is stripped into lines (one a block element). Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments weigh nothing, and a border of the article counts as a gap. Text lengths are summed over sliding
 windows of lines; a surge is where the sum leaves zero, a dive where it returns to zero, and the text between is kept:
-all runs inside the article or main element where the page has one. Elsewhere all runs are kept but short ones without
-a heading or a sentence before or after the text, outside the blocks that hold the longest run.
+all runs inside the article or main element where the page has one.
+
+A page without them has no border to go by, so its own lines tell: half of its text lies in lines of some length or
+more, and a line of a quarter of that length surges, as do headings, sentences and lines of the block that holds most
+text, but not lines that are mostly links or state a copyright. The first and the last line that surges bound the text;
+between them everything outside boilerplate stays.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,14 +24,16 @@ from pyspark.sql import DataFrame
 from .common import by_batch
 
 WINDOW = 3
-#: A run of this share of the longest is text by its length alone.
-SHARE = 0.1
+#: On pages without an article, a line of this share of the page's usual length surges by its length alone.
+SHARE = 0.25
+#: Elements nested deeper lie beside each other, as in browsers; so the work for an element is bounded.
+DEEPEST = 512
 
 # Element names of HTML by what becomes of them, and words of class and id that mark boilerplate.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
+DROPPED = frozenset("annotation annotation-xml script style noscript template svg iframe object canvas audio video select textarea button title head".split())
 RAW = frozenset("script style textarea title noscript template svg iframe".split())
 BOILER = frozenset("nav footer aside form dialog menu".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mspace mpadded mfenced semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
@@ -59,16 +66,71 @@ IMPLIED = (
     (("body",), ("head",), ()),
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", its source), (start, name, attributes) or (end, name, "") of a page, in one pass from start to end.
+
+    A tag ends at the first > outside quotes, or at the first > where a quote never ends; without one the rest is text.
+    Comments, declarations and the contents of scripts and the like are left out; CDATA is text.
+    """
+    at, size = 0, len(page)
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if lt == size:
+            return
+        mark = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            yield "text", "", html.escape(page[lt + 9 : end if end >= 0 else size])
+            at = size if end < 0 else end + 3
+        elif mark in ("!", "?"):
+            end = page.find(">", lt)
+            at = size if end < 0 else end + 1
+        elif name := _NAME.match(page, lt + 1 + (mark == "/")):
+            first = end = page.find(">", name.end())
+            if first < 0:
+                yield "text", "", page[lt:]
+                return
+            place = name.end()
+            while m := _STOP.search(page, place):
+                end = m.start()
+                if m[0] == ">":
+                    break
+                close = page.find(m[0], end + 1)
+                if close < 0:
+                    end = first
+                    break
+                place = close + 1
+            else:
+                end = first
+            at, low = end + 1, name[0].lower()
+            if mark == "/":
+                yield "end", low, ""
+            else:
+                yield "start", low, page[name.end() : end]
+                if low in RAW and not page.endswith("/", lt, end):
+                    m = _END[low].search(page, at)
+                    yield "end", low, ""
+                    at = m.end() if m else size
+        else:
+            yield "text", "", "<"
+            at = lt + 1
+
+
 def marked(attributes: str) -> int:
     """0 without a word that marks boilerplate, 2 if only words of discussions do, else 1. A word after has, with or no tells of another element."""
     found = 0
@@ -94,16 +156,11 @@ class _Tree:
         self.hard, self.marks, self.inside, self.begins = [False], [0], [False], [False]  # a boilerplate name, marks, in an article, begins an article
         self.events: list[tuple[str, int, str]] = []  # open, close, text or end (a block's border), of which element
         self._stack, self._count = [0], Counter()
-        at = 0
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                self._text(page[at : m.start()])
-            at = m.end()
-            if m[3] is not None:
-                (self._end if m[2] == "/" else self._start)(m[3].lower(), m[4])
-            elif m[1] is None and m[0].startswith("<![CDATA["):
-                self._text(html.escape(m[0][9:].removesuffix("]]>")))
-        self._text(page[at:])
+        for kind, name, text in tokens(page):
+            if kind == "text":
+                self._text(text)
+            else:
+                (self._end if kind == "end" else self._start)(name, text)
         self._close(0)
 
     def _text(self, text: str) -> None:
@@ -142,6 +199,8 @@ class _Tree:
                 self._close(i)
         if name == "a":
             self._end_inline(name)
+        if len(self._stack) > DEEPEST:
+            self._close(len(self._stack) - 1)
         up = self._stack[-1]
         begins = name in ARTICLE and not self.inside[up]
         hard = name in DROPPED or name in BOILER or name == "header" and not self.inside[up]
@@ -216,30 +275,37 @@ class _Tree:
         return out
 
 
-def lines_of(tree: _Tree) -> list[tuple[str, bool, int]]:
-    """(text, inside the article, its element) of each block line outside boilerplate; boilerplate itself leaves gaps outside the article: empty texts."""
-    out: list[tuple[str, bool, int]] = []
+def lines_of(tree: _Tree) -> list[tuple[str, bool, int, bool]]:
+    """(text, inside the article, its element, mostly links) of each block line outside boilerplate; boilerplate itself leaves gaps outside the article: empty texts."""
+    out: list[tuple[str, bool, int, bool]] = []
     parts: list[str] = []
     skip = tree.skipped()
-    article, holder = False, 0
+    link = [False] * len(tree.name)
+    for i in range(1, len(link)):
+        link[i] = link[tree.parent[i]] or tree.name[i] == "a"
+    article, holder, own, linked = False, 0, 0, 0
 
     def end_line() -> None:
+        nonlocal own, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, article, holder))
+                out.append((text, article, holder, linked > own))
+        own = linked = 0
 
     def gap() -> None:
         end_line()
-        out.extend([("", article, 0)] * WINDOW)
+        out.extend([("", article, 0, False)] * WINDOW)
 
     for kind, n, text in tree.events:
         name, up = tree.name[n], tree.parent[n]
         if kind == "text":
             if not skip[n]:
-                if not parts or not text.isspace() and "".join(parts).isspace():
+                size = len(text.strip())
+                if not parts or size and not own + linked:
                     holder = n
+                own, linked = own + size * (not link[n]), linked + size * link[n]
                 parts.append(text)
         elif skip[n]:
             if kind == "open" and not skip[up] and name not in INLINE:
@@ -256,7 +322,7 @@ def lines_of(tree: _Tree) -> list[tuple[str, bool, int]]:
 def main_text(page: str) -> str:
     tree = _Tree(page)
     lines = lines_of(tree)
-    weights = [len(t) for t, _, _ in lines]
+    weights = [len(t) for t, *_ in lines]
     runs: list[tuple[int, int]] = []  # surge and dive
     total, start = 0, None
     for i in range(len(lines) + WINDOW):
@@ -271,40 +337,59 @@ def main_text(page: str) -> str:
         runs.append((start, len(lines)))
     inside = [r for r in runs if any(lines[i][1] and weights[i] for i in range(r[0], min(r[1], len(lines))))]
     if not inside and runs:
-        inside = _content(tree, lines, runs)
+        inside = [_content(tree, lines, runs)]
     return " ".join(lines[i][0] for a, b in inside for i in range(a, min(b, len(lines))) if weights[i])
 
 
-def _content(tree: _Tree, lines: list[tuple[str, bool, int]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The runs of a page without an article: all from the first to the last that is text of the page."""
+def _content(tree: _Tree, lines: list[tuple[str, bool, int, bool]], runs: list[tuple[int, int]]) -> tuple[int, int]:
+    """From the first to the last line that surges on a page without an article; of a page without such lines, its longest run."""
 
     def block(n: int) -> int:
         while tree.name[n] in INLINE:
             n = tree.parent[n]
         return n
 
-    held = [[(t, block(n)) for t, _, n in lines[a:b] if t] for a, b in runs]
-    sizes = [sum(len(t) for t, _ in run) for run in held]
-    most = max(sizes)
-    # The blocks around the lines of the longest run, up to the first that holds them all; nothing is told by the body's.
-    around = [n if tree.name[n] in ("div", "section", "td", "body", "html", "") else tree.parent[n] for _, n in held[sizes.index(most)]]
-    low, high = min(around), max(around)
-    while tree.last[low] < high:
-        low = tree.parent[low]
+    a, b = max(runs, key=lambda r: sum(len(t) for t, *_ in lines[r[0] : r[1]]))
+    # The usual length: half of the text outside links lies in lines as long or longer.
+    lengths = sorted((len(t) for t, _, _, links in lines if t and not links), reverse=True)
+    usual, seen = 0, 0
+    for usual in lengths:
+        seen += usual
+        if 2 * seen >= sum(lengths):
+            break
+    # The blocks around the lines of usual length in the longest run, up to the first that holds them all; nothing is told by the body's.
+    long = [block(n) for t, _, n, links in lines[a:b] if t and not links and len(t) >= SHARE * usual]
+    around = [n if tree.name[n] in ("div", "section", "td", "body", "html", "") else tree.parent[n] for n in long]
+    low = high = 0
+    if around:
+        low, high = min(around), max(around)
+        while tree.last[low] < high:
+            low = tree.parent[low]
     shared = tree.name[low] not in ("body", "html", "")
 
     def sentence(t: str) -> bool:
         return " " in t and t.rstrip("\"'”’»)]").endswith((".", "!", "?", "…", ":", ";")) or t.endswith(("。", "！", "？"))
 
-    def text(k: int) -> bool:
-        return sizes[k] >= SHARE * most or any(shared and low <= n <= tree.last[low] or tree.name[n] in HEADINGS or sentence(t) for t, n in held[k])
+    def surges(i: int) -> bool:
+        text, _, n, links = lines[i]
+        n = block(n)
+        if shared and low <= n <= tree.last[low]:
+            return bool(text)
+        if not text or links or _COPYRIGHT.match(text):
+            return False
+        return len(text) >= SHARE * usual or tree.name[n] in HEADINGS or sentence(text)
 
-    kept = [k for k in range(len(runs)) if text(k)]
-    return runs[kept[0] : kept[-1] + 1]
+    kept = [i for i in range(len(lines)) if surges(i)]
+    return (kept[0], kept[-1] + 1) if kept else (a, b)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars of every page. Null and empty pages and pages without text give the empty text, 0 code points."""
+    """id, url, text, n_chars of every page.
+
+    Null and empty pages and pages without text give the empty text, 0 code points; null ids and urls stay; repeated
+    rows come back repeated; an empty table gives no rows; other columns of any name are left out. A page is read whole,
+    in time in proportion to its length.
+    """
     kinds = dict(pages.dtypes)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

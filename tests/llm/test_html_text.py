@@ -51,3 +51,54 @@ def test_without_article_both_sides_of_boilerplate_stay():
         assert main_text(f"<body><h1>T</h1>{between}<p>{'Some words. ' * 40}</p>{between}<p>word</p>{between}<p>The end.</p></body>") == f"T {'Some words. ' * 40}word The end."
         assert main_text(f"<div><div class=content><p>{'Some words. ' * 40}</p>{between}<p>end</p></div><div>{between}x</div></div>") == f"{'Some words. ' * 40}end"
     assert main_text("<table><tr><td>" + "word " * 40 + "<aside>ad</aside><p>end") == "word " * 40 + "end"
+
+
+def test_plain_menus_and_copyright_lines_outside_an_article_go():
+    text = "A first paragraph that goes on for a while and says something. " * 4
+    menu, foot = "<div>Home About Contact</div><div><a href=/a>Some</a> <a href=/b>of the longer links of this site here</a></div>", "<div>Copyright 2024 The Company and all others. All rights reserved.</div><div>Imprint</div>"
+    want = f"Head {text}short {text}".strip()
+    assert main_text(f"<body>{menu}<h1>Head</h1><p>{text}</p><p>short</p><p>{text}</p>{foot}</body>") == want
+    assert main_text(f"<body>{menu}<div class=content><h1>Head</h1><p>{text}</p><p>short</p><p>{text}</p></div>{foot}</body>") == want
+
+
+def test_formulas_and_words_of_boilerplate_inside_the_article_stay():
+    assert main_text("<article><p>Sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is.</p></article>") == "Sum x+y is."
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for unit in ("<a ", "<a '", '<p title="', "<div>", "<p><b>", "<!--", "<script>", "<a href='x'>y</a> ", "</p>", "<li>", "&amp;", "<article><div><p>"):
+        start = time.time()
+        main_text(unit * 20_000)
+        assert time.time() - start < 5, unit
+
+
+def test_windows_equal_plain_sums():
+    """Surge and dive against sums taken anew at every line."""
+    import random
+
+    from codeloom.llm import html_text
+
+    rng = random.Random(3)
+    for _ in range(100):
+        page = "".join(rng.choice(["<p>word word.</p>", "<aside>x</aside>", "<article><p>in it</p></article>", "<div>menu</div>", "<nav>n</nav>", "<h2>Head</h2>"]) for _ in range(rng.randint(1, 12)))
+        lines = html_text.lines_of(html_text._Tree(page))
+        sums = [sum(len(t) for t, *_ in lines[max(0, i - html_text.WINDOW + 1) : i + 1]) for i in range(len(lines))]
+        if "<article>" in page:
+            runs, own = [], []
+            for i, total in enumerate([*sums, 0]):
+                if total:
+                    own.append(i)
+                elif own:
+                    runs.append(own)
+                    own = []
+            want = " ".join(lines[i][0] for r in runs if any(lines[i][1] and lines[i][0] for i in r) for i in r if lines[i][0])
+            assert main_text(page) == want
+
+
+def test_empty_table_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>One two.</p>", "x", 5)]
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert [tuple(r) for r in extract(spark.createDataFrame(rows, schema)).collect()] == [(1, "u", "One two.", 8)]
+    assert extract(spark.createDataFrame([], schema)).count() == 0
