@@ -10,10 +10,10 @@ n - ceil(0.75 n) + 1 of either, so a document enters the regions of so many shin
 
 Level after level, each region names a member as its pivot. Members are measured against the pivots of their regions,
 and a document within the radius of pivots joins the Voronoi cell of the nearest, is linked to it and leaves. If x lies
-in the cell of p and y is linked to x, then d(y, p) <= 2 * RADIUS and d(x, p) >= d(y, p) - RADIUS. So the other members
-of a region are measured against the pivots of all cells that the region has, and those between the radius and twice
-the radius are replicated to the cell and compared with the members in the window, if not linked to the pivot in
-another way by then. Documents without a cell make smaller regions for the next level: small ones are compared at once,
+in the cell of p and y is linked to x, then d(y, p) <= RADIUS + d(x, p). So the other members of a region are measured
+against the pivots of all cells that the region has, and those no further from the pivot than RADIUS and the cell's own
+radius are replicated to the cell and compared with the members in the window, if not linked to the pivot in another
+way by then. Before whole sets are sent for a pair, bitmaps of them bound its likeness from above. Documents without a cell make smaller regions for the next level: small ones are compared at once,
 others get new pivots, and what is crowded after LEVELS levels is compared block by block within the region.
 
 Every step follows from the threshold alone, so no link is lost; every link is verified on whole sets, in integers.
@@ -55,18 +55,62 @@ def _bounded(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """node, n, set of rows (node, text); empty sets are left out."""
+    """node, n, set, bits of rows (node, text); empty sets are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(b.column(1)[i].as_py()).view(np.int64) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], ["node", "n", "set", "bits"])
 
-    return rows.mapInArrow(run, "node long, n long, set array<long>").where("n > 0")
+    return rows.mapInArrow(run, "node long, n long, set array<long>, bits binary").where("n > 0")
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bitmap of the low bits of a set's hashes: of a power of two of bits, 8 a hash at least."""
+    bits = 64
+    while bits < 8 * len(hashes):
+        bits *= 2
+    out = np.zeros(bits, bool)
+    out[hashes & (bits - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_likeness(a: bytes, an: int, b: bytes, bn: int) -> float:
+    """A bound from above of the likeness of sets of an and bn members with these bitmaps.
+
+    Members that both have lie on bits that both have; beyond one a bit, only as many as share their bits in either set.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y, an, bn = y, x, bn, an
+    x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)  # the low bits of the longer one
+    count = lambda z: int(np.bitwise_count(z).sum(dtype=np.int64))
+    shared = min(an, bn, count(x & y) + min(an - count(x), bn - count(y)))
+    return shared / (an + bn - shared)
+
+
+def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs(a, b, least) whose bitmaps allow a likeness of `least`."""
+    one = sets.select(F.col("node").alias("na"), F.col("n").alias("an"), F.col("bits").alias("ab"))
+    two = sets.select(F.col("node").alias("nb"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
+    met = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "least", "an", "ab", "bn", "bb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least, an, bn = (b.column(k).to_numpy() for k in (2, 3, 5))
+            left, right = b.column(4).to_pylist(), b.column(6).to_pylist()
+            kept = [most_likeness(left[i], int(an[i]), right[i], int(bn[i])) >= least[i] for i in range(b.num_rows)]
+            yield b.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, likeness, ok of pairs(a, b): the share of the union that both have, and whether they link, exactly."""
+    """a, b, likeness, ok of pairs(a, b, least): the share of the union that both have, and whether they link, exactly.
+
+    Pairs whose likeness is below `least` by their bitmaps are left out.
+    """
+    pairs = cut(_hopeful(pairs, sets))
     one = sets.select(F.col("node").alias("na"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("nb"), F.col("set").alias("sb"))
     met = pairs.select("a", "b").join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
@@ -117,40 +161,46 @@ def _shared_regions(regions: DataFrame) -> DataFrame:
     return regions.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members")
 
 
-def _sizes_near(an: str, bn: str, num: int = NUM):
-    """Whether sets of so many members can be as like as num / DEN."""
-    return (F.col(an) * DEN >= F.col(bn) * num) & (F.col(bn) * DEN >= F.col(an) * num)
+#: No pair that links is less like in floating point.
+LINKS = NUM / DEN - 1e-9
+
+
+def _sizes_near(an: str, bn: str):
+    """Whether sets of so many members can link."""
+    return (F.col(an) * DEN >= F.col(bn) * NUM) & (F.col(bn) * DEN >= F.col(an) * NUM)
 
 
 def _pairs_in(regions: DataFrame) -> DataFrame:
     """a < b, once a pair, of the members of small regions, whose sizes let them link."""
     one = regions.select("region", F.col("node").alias("a"), F.col("n").alias("an"))
     two = regions.select(F.col("region").alias("r"), F.col("node").alias("b"), F.col("n").alias("bn"))
-    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & _sizes_near("an", "bn")).select("a", "b").distinct()
+    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & _sizes_near("an", "bn")).select("a", "b", F.lit(LINKS).alias("least")).distinct()
 
 
 def _by_pivots(met: DataFrame, sets: DataFrame, level: int) -> tuple[list[DataFrame], DataFrame]:
     """(links, regions without the documents that lie in cells now) of shared regions."""
-    wide = 2 * NUM - DEN  # likeness at twice the radius
     draw = F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node", "n")
     pivots = cut(met.groupBy(F.col("region").alias("r")).agg(F.min(draw).alias("x")).select("r", F.col("x.node").alias("p"), F.col("x.n").alias("pn")))
-    asked = met.join(pivots, (F.col("region") == F.col("r")) & (F.col("node") != F.col("p")) & _sizes_near("n", "pn", wide))
-    first = cut(_measured(asked.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), sets))
+    asked = met.join(pivots, (F.col("region") == F.col("r")) & (F.col("node") != F.col("p")) & _sizes_near("n", "pn"))
+    first = cut(_measured(asked.select(F.col("node").alias("a"), F.col("p").alias("b"), F.lit(LINKS).alias("least")).distinct(), sets))
     near = first.where("ok").select("a", "b")
     # The cell of a document is that of its nearest pivot; a pivot has its own.
     nearest = first.where("ok").groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("cell"), F.max("likeness").alias("inside"))
     alone = pivots.select(F.col("p").alias("x"), F.col("p").alias("cell"), F.lit(1.0).alias("inside")).distinct()
     cells = cut(alone.unionByName(nearest.join(alone.select(F.col("x").alias("q")), F.col("x") == F.col("q"), "left_anti")))
+    # How like a document must be to a pivot to link with any member of the cell: one radius beyond the cell's furthest.
+    reach = cut(cells.groupBy(F.col("cell").alias("c")).agg((F.min("inside") - (1 - NUM / DEN) - 1e-9).alias("least")).join(sets.select(F.col("node").alias("w"), F.col("n").alias("pn")), F.col("c") == F.col("w")).drop("w"))
     roots = cut(components(near))
     known = lambda df, c, name: df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias(name)), F.col(c) == F.col("_n"), "left").withColumn(name, F.coalesce(name, c)).drop("_n")
     placed = cut(known(met.join(cells.select("x", "cell"), F.col("node") == F.col("x"), "left"), "node", "root").select("region", "node", "n", "cell", "root"))
     # Members against the pivots of the other cells of a region, unless linked already.
-    held = placed.where("cell is not null").select(F.col("region").alias("r"), F.col("cell").alias("p"), F.col("root").alias("proot")).distinct()
-    others = placed.join(held, (F.col("region") == F.col("r")) & (F.col("root") != F.col("proot"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+    held = placed.where("cell is not null").select(F.col("region").alias("r"), F.col("cell").alias("p"), F.col("root").alias("proot")).distinct().join(reach, F.col("p") == F.col("c"))
+    within = (F.col("n") >= F.col("pn") * F.col("least")) & (F.col("pn") >= F.col("n") * F.col("least"))
+    others = placed.join(held, (F.col("region") == F.col("r")) & (F.col("root") != F.col("proot")) & within).select(F.col("node").alias("a"), F.col("p").alias("b"), "least").distinct()
     others = others.join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
     second = cut(_measured(others, sets))
     links = [near, second.where("ok").select("a", "b")]
-    border = first.unionByName(second).where(~F.col("ok") & (F.col("likeness") >= wide / DEN - 1e-9))
+    border = first.unionByName(second).where(~F.col("ok")).join(reach, (F.col("b") == F.col("c")) & (F.col("likeness") >= F.col("least")))
     border = cut(known(known(border, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("b").alias("p"), F.col("a").alias("node"), "likeness").distinct())
     if border.head(1):
         links.append(_across(border, cells, sets))
