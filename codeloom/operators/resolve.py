@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def suffix_index(symbols: DataFrame, sep: str = ".") -> DataFrame:
 
     One aggregation serves all lookups of the resolver; a name is the shortest suffix.
     """
-    parts = symbols.where(~F.col("kind").isin(*EXCLUDED)).select("id", F.split("qualified_name", f"[{sep}]").alias("parts"))
+    parts = symbols.where(~F.col("kind").isin(*EXCLUDED)).select("id", F.split("qualified_name", re.escape(sep)).alias("parts"))
     texts = parts.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", k, F.size("parts")), sep))).alias("at", "text"))
     whole = F.col("at") == 0
     return texts.groupBy("text").agg(

@@ -36,9 +36,13 @@ def read(spark: SparkSession, root: str, name: str, version: int | None = None)
     return spark.read.parquet(f"{root}/v{version or current(spark, root)}/{name}")
 
 
-def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows whose key has no new rows, and all new rows."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def replaced(old: DataFrame, new: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """Old rows whose key is not replaced, and all new rows.
+
+    keys: the keys that are replaced, as a file that was parsed again and has no symbols now; without it those of the new rows.
+    """
+    gone = new.select(key) if keys is None else keys.select(key).unionByName(new.select(key))
+    return old.join(gone.distinct(), key, "left_anti").unionByName(new)
 
 
 def removed(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions import digests
+from codeloom.functions import digests, languages
 from codeloom.functions import names as N
 from codeloom.operators import areas, changes, graph, ranking, resolve, search
 from codeloom.sources import ignore, python_source, snapshot
@@ -99,6 +99,28 @@ def test_snapshots_flip_their_pointer_last(spark, tmp_path):
     assert sorted(map(tuple, snapshot.read(spark, root, "files", version=first).collect())) == [("a", "1"), ("b", "1")]
 
 
+def test_replaced_files_without_rows_lose_their_old_ones(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, id string")
+    keys = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert sorted(map(tuple, snapshot.replaced(old, old.where("path = 'b'"), "path", keys).collect())) == [("b", "1"), ("c", "1")]
+
+
+def test_suffixes_of_other_separators(spark):
+    symbols = spark.createDataFrame([("1", "class", "C", "a::b::C"), ("2", "class", "D", "a\\D")], "id string, kind string, name string, qualified_name string")
+    texts = lambda sep, i: {r["text"] for r in resolve.suffix_index(symbols.where(F.col("id") == i), sep).collect()}
+    assert texts("::", "1") == {"a::b::C", "b::C", "C"} and texts("\\", "2") == {"a\\D", "D"}
+
+
+def test_languages(spark):
+    names = ["src/a.py", "x/App.component.html", ".component.html", "a.HPP", ".py", "Makefile", "a.unknown", "b.tar.rs"]
+    want = ["python", "angular_template", None, "cpp", None, None, None, "rust"]
+    assert [languages.detect(n) for n in names] == want and one(spark, names, languages.language_of("x")) == want
+    assert one(spark, ["rust", "php", "python"], languages.separator_of("x")) == ["::", "\\", "."]
+    assert len(languages.LANGUAGES) == len(set(languages.LANGUAGES)) == languages.dimension(spark).count()
+    with pytest.raises(ValueError):
+        languages.extension_map("one .x\ntwo .x")
+
+
 def test_changes_and_journal(spark):
     a = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, content_hash string")
     b = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, content_hash string")
