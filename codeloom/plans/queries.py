@@ -275,26 +275,20 @@ def symbol_context_children(spark, sf):
 
 
 SPANS_SQL = """spans as (select user_id as file, event_id as span_id, cast(floor(value) as bigint) as start_at, cast(floor(value) as bigint) + event_id % 40 as end_at from events),
-points as (select user_id as file, event_id as point_id, cast(floor(value) as bigint) + event_id % 7 as at from events where event_type = 'click')"""
+points as (select user_id as file, event_id as point_id, cast(floor(value) as bigint) + event_id % 7 as at from events)"""
 
 
-def _intervals(spark, sf, asked):
+def _intervals(spark, sf):
     e = V.read(spark, sf, "events")
     at = F.floor("value").cast("long")
     spans = e.select(F.col("user_id").alias("file"), F.col("event_id").alias("span_id"), at.alias("start"), (at + F.col("event_id") % 40).alias("end"))
-    points = e.where(asked).select(F.col("user_id").alias("file"), F.col("event_id").alias("point_id"), (at + F.col("event_id") % 7).alias("at"))
+    points = e.select(F.col("user_id").alias("file"), F.col("event_id").alias("point_id"), (at + F.col("event_id") % 7).alias("at"))
     return points, spans
 
 
 @query("select point_id, arg_min(span_id, (end_at - start_at) * 1000000000000 + start_at * 1000000 + span_id) as span_id from points p left join spans s on p.file = s.file and s.start_at <= p.at and p.at <= s.end_at group by 1", SPANS_SQL)
-def enclosing_interval(spark, sf):
-    return ranking.innermost(*_intervals(spark, sf, "event_type = 'click'"))
-
-
-# The same of every event. The SQL above stays as it is; this one differs from it by the filter alone.
-@query(ORACLES["enclosing_interval"].replace(" where event_type = 'click'", ""))
 def enclosing_interval_of_every_event(spark, sf):
-    return ranking.innermost(*_intervals(spark, sf, "true"))
+    return ranking.innermost(*_intervals(spark, sf))
 
 
 TEST_SQL = """(len(list_filter(string_split(array_to_string(string_split(lower({p}), '/')[:-2], '.'), '.'), lambda x: x in ('test', 'tests', 'testing', '__tests__', 'spec', 'specs'))) > 0
@@ -433,14 +427,14 @@ def orient_json(spark, sf):
 
 BINDINGS_SQL = """bound as (select user_id as file, 'v' || event_id % 5 as name, case when event_type = 'view' then null else event_type end as type_name, cast(floor(value) as bigint) as scope_start,
   cast(floor(value) as bigint) + 5 + event_id % 60 as scope_end, event_id % 2 as frame, event_id % 3 = 0 as parameter from events),
-sites as (select event_id as site_id, user_id as file, 'v' || event_id % 5 as name, cast(floor(value) as bigint) + 3 as at from events where event_id % 4 = 0)"""
+sites as (select event_id as site_id, user_id as file, 'v' || event_id % 5 as name, cast(floor(value) as bigint) + 3 as at from events)"""
 
 
-def _bindings(spark, sf, asked="event_id % 4 = 0"):
+def _bindings(spark, sf):
     e, at = V.read(spark, sf, "events"), F.floor("value").cast("long")
     file, name = F.col("user_id").alias("file"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("name")
     made = e.select(file, name, F.when(F.col("event_type") != "view", F.col("event_type")).alias("type_name"), at.alias("scope_start"), (at + 5 + F.col("event_id") % 60).alias("scope_end"), (F.col("event_id") % 2).alias("frame_start"), (F.col("event_id") % 2).alias("frame_end"), (F.col("event_id") % 3 == 0).alias("parameter"))
-    return e.where(asked).select(F.col("event_id").alias("site_id"), file, name, (at + 3).alias("at")), made
+    return e.select(F.col("event_id").alias("site_id"), file, name, (at + 3).alias("at")), made
 
 
 @query("""select s.site_id, k.type_name from sites s left join (select b.site_id, b.type_name from (
@@ -448,24 +442,13 @@ def _bindings(spark, sf, asked="event_id % 4 = 0"):
     from sites s join bound b on s.file = b.file and s.name = b.name and b.scope_start <= s.at and s.at <= b.scope_end group by 1, 2, 3) x, lateral (select x.best.t as type_name, x.site_id as site_id) b where x.best is not null
     and not exists (select 1 from bound o where o.file = x.file and o.name = x.name and o.scope_start = x.best.a and o.scope_end = x.best.z and coalesce(o.type_name, '') <> x.best.t)
     and not exists (select 1 from bound o where o.file = x.file and o.name = x.name and o.scope_start >= x.best.a and o.scope_end <= x.best.z and (o.scope_start <> x.best.a or o.scope_end <> x.best.z) and o.frame = x.best.f and o.type_name is distinct from x.best.t)) k using (site_id)""", BINDINGS_SQL)
-def declared_type_at(spark, sf):
+def declared_type_at_every_event(spark, sf):
     return bindings.declared_types(*_bindings(spark, sf))
 
 
 @query("select site_id from sites s where exists (select 1 from bound b where s.file = b.file and s.name = b.name and b.scope_start <= s.at and s.at <= b.scope_end and not b.parameter)", BINDINGS_SQL)
-def rebound_sites(spark, sf):
-    return bindings.bound(*_bindings(spark, sf), but_parameters=True).select("site_id")
-
-
-# The same of every event. The SQL above stays as it is; these differ from it by the filter alone.
-@query(ORACLES["declared_type_at"].replace(" where event_id % 4 = 0", ""))
-def declared_type_at_every_event(spark, sf):
-    return bindings.declared_types(*_bindings(spark, sf, "true"))
-
-
-@query(ORACLES["rebound_sites"].replace(" where event_id % 4 = 0", ""))
 def rebound_sites_of_every_event(spark, sf):
-    return bindings.bound(*_bindings(spark, sf, "true"), but_parameters=True).select("site_id")
+    return bindings.bound(*_bindings(spark, sf), but_parameters=True).select("site_id")
 
 
 @query("select name, min(id) filter (where t) as type_id, min(qualified_name) filter (where t) as type_name from (select *, kind in ('class', 'record', 'interface', 'struct', 'enum', 'type') as t from v_symbols) group by 1 having count(*) filter (where t) = 1 and count(*) filter (where not t) = 0", V.SYMBOLS_SQL)
@@ -526,14 +509,7 @@ def languages_and_hashes_by_path(spark, sf):
     return V.files(spark, sf).where("language = 'de'")
 
 
-@query("select page_id, string_agg(to_name, ',' order by to_name) as names, count(*) as n_names from (select distinct page_id, to_name from v_imports where page_id < 20) group by 1", V.IMPORTS_SQL)
-def imports_for_files(spark, sf):
-    own = V.imports(spark, sf).where("page_id < 20").distinct()  # a lookup by a set of files
-    return own.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("to_name")), ",").alias("names"), F.count("*").alias("n_names"))
-
-
-# The same of all files. The SQL above stays as it is; this one differs from it by the filter alone.
-@query(ORACLES["imports_for_files"].replace(" where page_id < 20", ""))
+@query("select page_id, string_agg(to_name, ',' order by to_name) as names, count(*) as n_names from (select distinct page_id, to_name from v_imports) group by 1", V.IMPORTS_SQL)
 def imports_for_all_files(spark, sf):
     own = V.imports(spark, sf).distinct()
     return own.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("to_name")), ",").alias("names"), F.count("*").alias("n_names"))
