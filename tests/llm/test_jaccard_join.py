@@ -80,10 +80,28 @@ def test_sets_equal_their_definition():
         assert len(shingle_set(t)) == len(plain_set(t))
 
 
-def test_components_of_a_path_and_a_star(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (5, 3)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
+@pytest.mark.parametrize("local", [1000, 0])
+def test_components_of_a_path_and_a_star(spark, local):
+    links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (5, 3), (41, 41)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50)) and got[100] == 100
+    assert len(got) == 92
+    assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
+
+
+def test_components_of_random_links_by_one_task_and_by_stars(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(-150, 150) * 3, rng.randrange(-150, 150) * 3) for _ in range(140)]
+    root = {}
+    for a, b in links:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {n: r for n, r in root.items() if any(n in x and x[0] != x[1] for x in links)}
+    df = spark.createDataFrame(links, "a long, b long")
+    for local in (1000, 0):
+        assert {r["node"]: r["root"] for r in components(df, local).collect()} == want
 
 
 def test_every_pair_at_the_border_links(spark):
