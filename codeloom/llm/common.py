@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -47,15 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The same columns, named by their places."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to one batch."""
+    """mapInArrow with a function from one batch to one batch; columns go in under their places, as names may hold dots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return by_place(df).mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:

@@ -158,13 +158,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns, the text with personal data replaced by the name of its kind; null stays null."""
+    """All rows and columns, the text with personal data replaced by the name of its kind.
+
+    Null and empty texts stay; repeated rows stay, one by one; an empty table stays empty; other columns of any name and
+    with nulls come back as they were; texts are taken whole, however long.
+    """
     at, schema = docs.columns.index(text_col), docs.schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [batch.column(at)[i].as_py() for i in range(batch.num_rows)]
         new = [t if not t else redacted(t, s) if (s := spans_of(t)) else t for t in texts]
         columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     return by_batch(docs, work, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import by_place, cut, ready
 
 #: At most so many labelled rows are fitted, chosen by the hash of their ids.
 SAMPLE = 20_000
@@ -87,7 +87,10 @@ def fit(rows: np.ndarray, good: np.ndarray, ridge: float = 1e-5, steps: int = 60
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits the classifier on at most `sample` labelled rows; rows with a null id or label are left out, null texts count as empty."""
+    """Fits the classifier on at most `sample` labelled rows; rows with a null id or label are left out, null texts count as empty.
+
+    Where rows of the documents repeat an id, at most ten times as many are fitted, chosen by the hash of their features.
+    """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("good"))
     some = some.orderBy(F.xxhash64("id"), "good").limit(sample)
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("d") == F.col("id")).select("text", "good")
@@ -96,15 +99,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(b.column(0)[i].as_py() or "") for i in range(b.num_rows)], pa.list_(pa.float64())), b.column(1)], ["x", "good"])
 
-    found = rows.mapInArrow(run, "x array<double>, good double").limit(10 * sample).collect()
+    found = rows.mapInArrow(run, "x array<double>, good double").orderBy(F.xxhash64("x"), "x", "good").limit(10 * sample).collect()
     x = np.array([r["x"] for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["good"] for r in found], float))
 
 
-def _logit(p: F.Column) -> F.Column:
-    return F.log(p / (1 - p))
-
-
 def site_rates(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text") -> DataFrame:
     """_host, _path, and for each: documents, soft count of good ones; and the priors' figures. One row a path of a host."""
     sites = docs.select(F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path"), F.col(text_col).alias("text"))
@@ -144,6 +143,8 @@ def strengths(rates: DataFrame) -> tuple[float, float, float]:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, only_kept: bool = False) -> DataFrame:
     """id, evidence, prior, posterior, kept of every row; with only_kept the rows themselves, all columns, that are kept.
 
+    The level below the host is `path_col`. `documents` have no addresses, so their language serves as the path there.
+
     Null host or path is a site of its own; null and empty texts have the evidence of a text without features; a site
     with this document alone has its parent's rate. Equal rows are judged equally, one by one. Tables without rows or
     without labels of both classes give evidence 0, so that all rows are kept unless the threshold is above the rate.
@@ -155,7 +156,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     figures = rates.select(F.col("_host").alias("_q_host"), F.col("_path").alias("_q_path"), F.array(*[F.col(c).cast("double") for c in ("n_path", "s_path", "n_host", "s_host")]).alias("_q_figures"))
     few = figures.count() <= BROADCAST_SITES  # beyond, the join shuffles, and Spark splits a host that very many rows share
     met = docs.join(F.broadcast(figures) if few else figures, docs[host_col].cast("string").eqNullSafe(F.col("_q_host")) & docs[path_col].cast("string").eqNullSafe(F.col("_q_path")), "left")
-    width, text_at, id_at = len(docs.columns), docs.columns.index(text_col), docs.columns.index(id_col)
+    names, width, text_at, id_at = docs.columns, len(docs.columns), docs.columns.index(text_col), docs.columns.index(id_col)
     rows = met.select(*[docs[f"`{c}`"] for c in docs.columns], "_q_figures")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +170,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             posterior = 1 / (1 + np.exp(-(e + np.log(path / (1 - path)))))
             kept = posterior >= threshold
             if only_kept:
-                yield pa.RecordBatch.from_arrays(b.columns[:width], b.schema.names[:width]).filter(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(b.columns[:width], names).filter(pa.array(kept))
             else:
                 yield pa.RecordBatch.from_arrays([b.column(id_at), pa.array(e), pa.array(path), pa.array(posterior), pa.array(kept)], [id_col, "evidence", "prior", "posterior", "kept"])
 
     kind = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(run, docs.schema if only_kept else f"`{id_col}` {kind}, evidence double, prior double, posterior double, kept boolean")
+    return by_place(rows).mapInArrow(run, docs.schema if only_kept else f"`{id_col}` {kind}, evidence double, prior double, posterior double, kept boolean")

@@ -61,3 +61,13 @@ def test_rows_with_nulls_and_repeats(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     again = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     assert [r["text"] for r in again] == [None, "[EMAIL]", ""]
+
+
+def test_redaction_keeps_columns_with_dots_in_their_names(spark):
+    from codeloom.llm import pii
+
+    docs = spark.createDataFrame([(1, "to a@b.cd now", "x"), (1, "to a@b.cd now", "x"), (2, None, None)], "doc_id long, text string, `a.b` string")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["a.b"]) for r in got.where("text is not null").collect()) == [(1, "to [EMAIL] now", "x")] * 2
+    assert pii.redact(docs.limit(0)).count() == 0

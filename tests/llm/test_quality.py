@@ -39,3 +39,32 @@ def test_sparse_sites_shrink_to_their_parents(spark):
     rates = spark.createDataFrame([("a", "x", 1000, 900.0, 1001, 900.2), ("a", "y", 1, 0.2, 1001, 900.2), ("b", "x", 1000, 100.0, 1000, 100.0)], "_host string, _path string, n_path long, s_path double, n_host long, s_host double")
     rate, host, path = quality.strengths(rates)
     assert 0.49 < rate < 0.51 and host < 20 and quality.LEAST_STRENGTH <= path <= quality.MOST_STRENGTH
+
+
+def test_posteriors_equal_a_plain_computation(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, words(rng, 30) if i % 3 else "$$$ !! " * 20, f"h{i % 4}", f"p{i % 3 * (i % 2)}") for i in range(60)]
+    rows += [(60, "", None, "p0"), (61, None, "lonely", None), (1, rows[1][1], "h1", "p1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    rate, host_strength, path_strength = quality.strengths(quality.site_rates(docs, model))
+    e = [float(model.evidence(np.array([quality.features(t or "")]))[0]) for _, t, _, _ in rows]
+    own = [1 / (1 + np.exp(-x)) for x in e]
+    want = []
+    for i, (key, _, h, p) in enumerate(rows):
+        of_host = [own[j] for j, r in enumerate(rows) if r[2] == h and j != i]
+        of_path = [own[j] for j, r in enumerate(rows) if r[2:] == (h, p) and j != i]
+        host = (sum(of_host) + host_strength * rate) / (len(of_host) + host_strength)
+        path = min(max((sum(of_path) + path_strength * host) / (len(of_path) + path_strength), 1e-3), 1 - 1e-3)
+        want.append((key, path, 1 / (1 + np.exp(-e[i] - np.log(path / (1 - path))))))
+    got = sorted((r["doc_id"], r["prior"], r["posterior"]) for r in quality.judge(docs, labels).collect())
+    assert [g[0] for g in got] == sorted(w[0] for w in want)
+    np.testing.assert_allclose([g[1:] for g in got], [w[1:] for w in sorted(want)], rtol=1e-6)
+
+
+def test_columns_with_dots_in_their_names(spark):
+    docs = spark.createDataFrame([(1, "a word", "h", "en", "x", None), (2, None, "h", None, "y", 3)], "doc_id long, text string, source string, lang string, `a.b` string, `c d.` int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.judge(docs, labels, only_kept=True)
+    assert kept.schema.names == docs.schema.names and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
