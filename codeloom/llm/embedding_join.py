@@ -2,7 +2,7 @@
 
 A rotation learnt on a bounded sample turns centred unit vectors into balanced binary codes. A code is cut into
 `TABLES` parts, each an index of its own; a vector enters each table under its part and under the parts that differ
-in its least certain bits. Vectors that meet in a bucket of equal label and differ in few bits are compared again as
+in its least certain bits. Vectors that meet in a bucket of equal label, however full it is, are compared again as
 original vectors in double precision. Of all buckets in which two vectors meet, the first alone compares them, so that
 no pair counts twice and no list of pairs has to be made distinct.
 
@@ -30,8 +30,6 @@ LEAST = 0.93
 SAMPLE = 8_192
 ROUNDS = 40
 TABLES, PART, UNSURE = 4, 16, 3
-#: Pairs of codes that differ in more bits aren't compared; at the least likeness 8 bits of 64 are expected to differ.
-MOST_BITS = 20
 CROWDED, BLOCK = 64, 512
 
 
@@ -162,7 +160,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = entries.groupBy(F.col("label").alias("l"), F.col("bucket").alias("k")).agg(F.count("*").alias("met")).where("met > 1")
     shared = cut(entries.join(counts, (F.col("label") == F.col("l")) & (F.col("bucket") == F.col("k"))).drop("l", "k"))
     side = lambda p: shared.where(F.col("met") <= CROWDED).select(*[F.col(c).alias(f"{p}_{c}") for c in ("digest", "node", "label", "code", "mask", "bucket")])
-    pairs = side("a").join(side("b"), (F.col("a_label") == F.col("b_label")) & (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_digest") < F.col("b_digest")) & (F.expr("bit_count(a_code ^ b_code)") <= MOST_BITS))
+    pairs = side("a").join(side("b"), (F.col("a_label") == F.col("b_label")) & (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_digest") < F.col("b_digest")))
     pairs = pairs.where(F.col("a_bucket") == first_bucket_sql("a", "b")).select("a_digest", "b_digest")
     whole = classes.select("digest", "node", "members", "vector")
     named = lambda p: whole.select(*[F.col(c).alias(f"{p}{c}") for c in whole.columns])
