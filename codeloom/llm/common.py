@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The same rows in as many parts as shuffles have, where Spark has split skewed ones into more; rows don't move."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """The same columns, named by their places."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

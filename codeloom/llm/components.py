@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, gathered, ready
 
 
 #: Up to so many distinct links (8 MB) are one bounded task's work; a round of stars takes a dozen stages, whatever its size.
@@ -52,9 +52,8 @@ def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     Up to `local` distinct links are solved by one task. Beyond, each round of stars halves the depth of trees at least, and
     a round's minimum is combined before its shuffle.
     """
-    spark = ready(links.sparkSession)
-    few = int(spark.conf.get("spark.sql.shuffle.partitions"))  # unions of many tables have many parts, most of them small
-    edges = cut(links.coalesce(few).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct())
+    ready(links.sparkSession)
+    edges = cut(gathered(links).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct())
     if edges.count() <= local:
         return _in_one_task(edges)
     before = None

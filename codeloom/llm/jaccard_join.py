@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gathered
 from .components import components
 from .repeats import repeated_shingles
 from .shingles import shingle_set
@@ -102,7 +102,7 @@ def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kept = [most_likeness(left[i], int(an[i]), right[i], int(bn[i])) >= least[i] for i in range(b.num_rows)]
             yield b.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return gathered(met).mapInArrow(run, "a long, b long")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(bool(linked(shared, len(x), len(y))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like, pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "likeness", "ok"])
 
-    return met.mapInArrow(run, "a long, b long, likeness double, ok boolean")
+    return gathered(met).mapInArrow(run, "a long, b long, likeness double, ok boolean")
 
 
 def _regions(sets: DataFrame) -> DataFrame:
