@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -59,8 +59,12 @@ def children(symbols: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For points (file, point_id, at): the shortest span (file, span_id, start, end) that holds it, both ends included; null without one."""
+def innermost(points: DataFrame, spans: DataFrame, rank: Column | None = None) -> DataFrame:
+    """For points (file, point_id, at): the shortest span (file, span_id, start, end) that holds it, both ends included; null without one.
+
+    rank: a number of the spans' columns that decides instead of length, start and id; of spans of one rank the smallest id.
+    """
     joined = points.join(spans, (points["file"] == spans["file"]) & (F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")), "left")
-    best = F.min_by("span_id", F.when(F.col("span_id").isNotNull(), F.struct(F.col("end") - F.col("start"), F.col("start"), F.col("span_id"))))
+    order = [F.col("end") - F.col("start"), F.col("start")] if rank is None else [rank]
+    best = F.min_by("span_id", F.when(F.col("span_id").isNotNull(), F.struct(*order, F.col("span_id"))))
     return joined.groupBy("point_id").agg(best.alias("span_id"))

@@ -185,3 +185,19 @@ def test_depths_of_deep_nesting_and_cycles(spark):
     assert {tuple(r) for r in ranking.depths(chain).collect()} == {(f"s{k:02}", k, "s00") for k in range(19)}
     with pytest.raises(ValueError):
         ranking.depths(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, container_id string"))
+
+
+def test_enclosing_interval_of_ids_beyond_a_million(spark, tmp_path):
+    """The SQL's rank adds the id to a million times the start, so a larger id can outweigh a smaller start."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    events = [(3_000_039, 7, 10.5), (39, 7, 12.5), (5_000_079, 7, 11.0), (1_000_000, 7, 12.0), (2_000_041, 8, 1.0), (4_000_000, 9, None)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    name = "enclosing_interval_of_every_event"
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(entry.oracle_sql()[name]).fetchall())
+    assert {r["point_id"]: r["span_id"] for r in entry.queries()[name](spark, str(tmp_path)).collect()} == want
+    assert want[39] == 39 and want[4_000_000] is None
