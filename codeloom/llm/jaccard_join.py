@@ -5,18 +5,19 @@ Jaccard distance d is a metric; two documents link within RADIUS of each other.
 Who can link. Within the radius of x lies no set that lacks more than a quarter of x. A document of whose shingles less
 than three quarters occur in other documents (`repeats`) is therefore alone, and most documents are.
 
-Where they meet. All shingles have one order, those of many documents last. Two linked sets share one of the first
-n - ceil(0.75 n) + 1 of either, so a document enters the regions of so many shingles: each linked pair has a region.
-
-Level after level, each region names a member as its pivot. Members are measured against the pivots of their regions,
-and a document within the radius of pivots joins the Voronoi cell of the nearest, is linked to it and leaves. If x lies
-in the cell of p and y is linked to x, then d(y, p) <= RADIUS + d(x, p). So the other members of a region are measured
-against the pivots of all cells that the region has, and those no further from the pivot than RADIUS and the cell's own
-radius are replicated to the cell and compared with the members in the window, if not linked to the pivot in another
-way by then. Before whole sets are sent for a pair, bitmaps of them bound its likeness from above. Documents without a cell make smaller regions for the next level: small ones are compared at once,
-others get new pivots, and what is crowded after LEVELS levels is compared block by block within the region.
-
-Every step follows from the threshold alone, so no link is lost; every link is verified on whole sets, in integers.
+Where they meet. All shingles have one order, those of few documents first. Two linked sets of n and m members share
+s >= 0.75 (n + m) / 1.75 of them. If the first shared one stands at the places i and j of the sets (from 0), s is at most
+n - i and m - j. So a document enters the regions of its first n - ceil(0.75 n) + 1 shingles with its place there, and two
+members of a region are compared only if n - i and m - j allow a link: each linked pair passes in the region of its first
+shared shingle.
+
+What is left to ask. Only components are wanted, so members of a region that are joined already need no comparison, and
+a region whose members are all joined is done. Level after level, crowded regions (at first all) draw pivots, four times
+as many each level; members that are not yet joined to a pivot and may link with it are measured against it, and links
+join them. In the end the members outside the largest component of a region are compared with all others of the region.
+
+Every step follows from the threshold alone, so no component is lost; every link is verified on whole sets, in integers.
+Before whole sets are sent for a pair, bitmaps of them bound its likeness from above.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,10 @@ from .shingles import shingle_set
 
 #: Least likeness as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
-#: A region with more members is crowded; shingles of more documents come last in the order.
+#: A region with more members is crowded: it draws pivots at every level, others only at the first.
 CROWDED = 64
-LEVELS = 3
+LEVELS = 4
+#: So many members of a region are compared with one outside its largest component by one key of the last join.
 BLOCK = 256
 #: Lists of ids up to this many are broadcast (some 40 MB); longer ones are joined by shuffles.
 BROADCAST_IDS = 2_000_000
@@ -130,147 +131,72 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _regions(sets: DataFrame) -> DataFrame:
-    """region, node, n: each set in the regions of as many of its first shingles as the threshold asks for."""
-    entries = sets.select("node", F.explode("set").alias("region"))
-    common = cut(entries.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where(F.col("members") > CROWDED).select("r"))
-    held = entries.join(_bounded(common), F.col("region") == F.col("r")).groupBy(F.col("node").alias("h")).agg(F.collect_set("region").alias("late"))
-    met = sets.join(held, F.col("node") == F.col("h"), "left").select("node", "set", "late")
+    """region, node, n, place: each set in the regions of as many of its first shingles as the threshold asks for.
+
+    Shingles of one set alone come first of all and are no regions, so they count by their number only.
+    """
+    entries = sets.select("node", "n", F.xxhash64("set").alias("own"), F.explode("set").alias("region"))
+    shared = entries.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where("members > 1")
+    held = entries.join(shared, F.col("region") == F.col("r")).groupBy("node", "n", "own").agg(F.collect_list(F.struct("members", "region")).alias("late")).select("node", "n", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, regions, sizes = [], [], []
+            made = []
             for i in range(b.num_rows):
-                own, late = b.column(1)[i].values.to_numpy(), b.column(2)[i]
-                n = len(own)
-                if late.is_valid:
-                    last = np.isin(own, late.values.to_numpy())
-                    own = np.concatenate([own[~last], own[last]])
-                first = own[: n - -(-NUM * n // DEN) + 1]
-                regions.append(first)
-                nodes.append(np.full(len(first), b.column(0)[i].as_py(), np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, nodes, sizes)], ["region", "node", "n"])
+                node, n, late = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].values
+                members, region = (x.to_numpy(zero_copy_only=False) for x in late.flatten())
+                alone = n - len(region)
+                first = region[np.lexsort((region, members))][: max(0, n - -(-NUM * n // DEN) + 1 - alone)]
+                made.append((first, np.full(len(first), node, np.int64), np.full(len(first), n, np.int64), alone + np.arange(len(first), dtype=np.int64)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["region", "node", "n", "place"])
+
+    return held.mapInArrow(run, "region long, node long, n long, place long")
+
+
+def _open(regions: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """region, node, n, place, root, members of the regions whose members are not all joined; without roots each is its own."""
+    if roots is not None:
+        known = roots.select(F.col("node").alias("x"), F.col("root").alias("new"))
+        regions = regions.select("region", "node", "n", "place").join(_bounded(known), F.col("node") == F.col("x"), "left").withColumn("root", F.coalesce("new", "node")).drop("x", "new")
+    else:
+        regions = regions.withColumn("root", F.col("node"))
+    apart = regions.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return regions.join(apart.select("r", "members"), F.col("region") == F.col("r")).select("region", "node", "n", "place", "root", "members")
 
-    return met.mapInArrow(run, "region long, node long, n long")
 
+#: No pair that links is less like in floating point.
+LINKS = NUM / DEN - 1e-9
 
-def _shared_regions(regions: DataFrame) -> DataFrame:
-    """The regions of two members or more, with their number."""
-    counts = regions.groupBy(F.col("region").alias("r")).agg(F.count("*").alias("members")).where("members > 1")
-    return regions.join(counts, F.col("region") == F.col("r")).select("region", "node", "n", "members")
 
+def _may_link():
+    """Whether sets of n and pn members whose first shared shingle stands at these places can link."""
+    least = NUM * (F.col("n") + F.col("pn"))
+    return ((F.col("n") - F.col("place")) * (NUM + DEN) >= least) & ((F.col("pn") - F.col("pplace")) * (NUM + DEN) >= least)
 
-#: No pair that links is less like in floating point.
-LINKS = NUM / DEN - 1e-9
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """a > b, once a pair, of rows with a node and a pivot p."""
+    return met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"), F.lit(LINKS).alias("least")).distinct()
 
-def _sizes_near(an: str, bn: str):
-    """Whether sets of so many members can link."""
-    return (F.col(an) * DEN >= F.col(bn) * NUM) & (F.col(bn) * DEN >= F.col(an) * NUM)
-
-
-def _pairs_in(regions: DataFrame) -> DataFrame:
-    """a < b, once a pair, of the members of small regions, whose sizes let them link."""
-    one = regions.select("region", F.col("node").alias("a"), F.col("n").alias("an"))
-    two = regions.select(F.col("region").alias("r"), F.col("node").alias("b"), F.col("n").alias("bn"))
-    return one.join(two, (F.col("region") == F.col("r")) & (F.col("a") < F.col("b")) & _sizes_near("an", "bn")).select("a", "b", F.lit(LINKS).alias("least")).distinct()
-
-
-def _by_pivots(met: DataFrame, sets: DataFrame, level: int) -> tuple[list[DataFrame], DataFrame]:
-    """(links, regions without the documents that lie in cells now) of shared regions."""
-    draw = F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node", "n")
-    pivots = cut(met.groupBy(F.col("region").alias("r")).agg(F.min(draw).alias("x")).select("r", F.col("x.node").alias("p"), F.col("x.n").alias("pn")))
-    asked = met.join(pivots, (F.col("region") == F.col("r")) & (F.col("node") != F.col("p")) & _sizes_near("n", "pn"))
-    first = cut(_measured(asked.select(F.col("node").alias("a"), F.col("p").alias("b"), F.lit(LINKS).alias("least")).distinct(), sets))
-    near = first.where("ok").select("a", "b")
-    # The cell of a document is that of its nearest pivot; a pivot has its own.
-    nearest = first.where("ok").groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("cell"), F.max("likeness").alias("inside"))
-    alone = pivots.select(F.col("p").alias("x"), F.col("p").alias("cell"), F.lit(1.0).alias("inside")).distinct()
-    cells = cut(alone.unionByName(nearest.join(alone.select(F.col("x").alias("q")), F.col("x") == F.col("q"), "left_anti")))
-    # How like a document must be to a pivot to link with any member of the cell: one radius beyond the cell's furthest.
-    reach = cut(cells.groupBy(F.col("cell").alias("c")).agg((F.min("inside") - (1 - NUM / DEN) - 1e-9).alias("least")).join(sets.select(F.col("node").alias("w"), F.col("n").alias("pn")), F.col("c") == F.col("w")).drop("w"))
-    roots = cut(components(near))
-    known = lambda df, c, name: df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias(name)), F.col(c) == F.col("_n"), "left").withColumn(name, F.coalesce(name, c)).drop("_n")
-    placed = cut(known(met.join(cells.select("x", "cell"), F.col("node") == F.col("x"), "left"), "node", "root").select("region", "node", "n", "cell", "root"))
-    # Members against the pivots of the other cells of a region, unless linked already.
-    held = placed.where("cell is not null").select(F.col("region").alias("r"), F.col("cell").alias("p"), F.col("root").alias("proot")).distinct().join(reach, F.col("p") == F.col("c"))
-    within = (F.col("n") >= F.col("pn") * F.col("least")) & (F.col("pn") >= F.col("n") * F.col("least"))
-    others = placed.join(held, (F.col("region") == F.col("r")) & (F.col("root") != F.col("proot")) & within).select(F.col("node").alias("a"), F.col("p").alias("b"), "least").distinct()
-    others = others.join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
-    second = cut(_measured(others, sets))
-    links = [near, second.where("ok").select("a", "b")]
-    border = first.unionByName(second).where(~F.col("ok")).join(reach, (F.col("b") == F.col("c")) & (F.col("likeness") >= F.col("least")))
-    border = cut(known(known(border, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("b").alias("p"), F.col("a").alias("node"), "likeness").distinct())
-    if border.head(1):
-        links.append(_across(border, cells, sets))
-    left = placed.where("cell is null").select("region", "node", "n")
-    return links, left
-
-
-def _across(border: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between documents (p, node, likeness) at the border of cells and the members in the window, block by block."""
-    block = lambda of: F.pmod(F.xxhash64("node", F.lit(7)), F.col(of)).cast("int")
-    asked = border.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_out"), F.max("likeness").alias("most"))
-    # The window: d(x, p) >= d(y, p) - RADIUS for some y at the border, written with likenesses.
-    inside = cells.where("x <> cell").join(asked, (F.col("cell") == F.col("q")) & (F.col("inside") <= F.col("most") + (1 - NUM / DEN) + 1e-9)).select(F.col("cell").alias("p"), F.col("x").alias("node"))
-    inside = cut(inside)
-    size = inside.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n_in")).join(asked, "q").select("q", F.ceil(F.col("n_in") / BLOCK).cast("int").alias("ins"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("outs"))
-    size = cut(size)
-    left = inside.join(size, F.col("p") == F.col("q")).select("p", "node", F.lit(0).alias("side"), block("ins").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"))
-    right = border.join(size, F.col("p") == F.col("q")).select("p", "node", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"), block("outs").alias("j"))
-    dealt = left.unionByName(right).join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("p", "i", "j", "side", "node", "set")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        return _links_between(x, y)
-
-    return cut(dealt.groupBy("p", "i", "j").applyInPandas(compare, "a long, b long"))
-
-
-def _links_between(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-    shared, a, b = _shared(x["set"], y["set"])
-    i, j = np.nonzero(linked(shared, a[:, None], b[None, :]))
-    p, q = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-    return pd.DataFrame({"a": np.maximum(p, q).astype(np.int64), "b": np.minimum(p, q).astype(np.int64)})[p != q]
-
-
-def _shared(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the intersections of every set on the left with every set on the right, and the sets' sizes, in bounded memory."""
-    rows = [*left, *right]
-    size = np.array([len(s) for s in rows], np.int64)
-    words, inverse = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    at = np.repeat(np.arange(len(rows)), size)
-    # Only words of both sides count; most of a text's shingles are its own.
-    here = np.bincount(inverse[at < len(left)], minlength=len(words)) > 0
-    there = np.bincount(inverse[at >= len(left)], minlength=len(words)) > 0
-    place = np.cumsum(here & there) - 1
-    kept = (here & there)[inverse]
-    at, inverse = at[kept], place[inverse[kept]]
-    order = np.argsort(inverse, kind="stable")
-    inverse, at = inverse[order], at[order]
-    shared = np.zeros((len(left), len(right)))
-    step = 1 << 12
-    for start in range(0, int((here & there).sum()), step):
-        lo, hi = np.searchsorted(inverse, [start, start + step])
-        grid = np.zeros((len(rows), min(step, int(inverse[-1]) + 1 - start)), np.float32)
-        grid[at[lo:hi], inverse[lo:hi] - start] = 1
-        shared += grid[: len(left)] @ grid[len(left) :].T
-    return shared, size[: len(left)], size[len(left) :]
-
-
-def _by_blocks(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within crowded regions, one pair of bounded blocks a task."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = met.select("region", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("own"))
-    dealt = held.select("region", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("region", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(sets.select(F.col("node").alias("w"), "set"), F.col("node") == F.col("w")).select("region", "i", "j", "own", "node", "set")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _links_between(pdf[pdf["own"] == pdf["i"].iat[0]], pdf[pdf["own"] == pdf["j"].iat[0]])
+def _with_pivots(met: DataFrame, level: int) -> DataFrame:
+    """Pairs of the members of regions with up to 4 ** level pivots of theirs, each the first of a part of them by a draw."""
+    part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(4**level))
+    draw = F.struct(F.xxhash64("node", F.lit(-1 - level)).alias("draw"), "node", "n", "place", "root")
+    pivots = met.groupBy(F.col("region").alias("r"), part.alias("part")).agg(F.min(draw).alias("x")).select("r", F.col("x.node").alias("p"), F.col("x.n").alias("pn"), F.col("x.place").alias("pplace"), F.col("x.root").alias("proot"))
+    return _pairs(met.join(pivots, (F.col("region") == F.col("r")) & (F.col("root") != F.col("proot")) & _may_link()))
 
-    return cut(dealt.groupBy("region", "i", "j").applyInPandas(compare, "a long, b long"))
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """Pairs of the members of regions that are not joined yet: of two components, one isn't the region's largest."""
+    sizes = met.groupBy("region", "root").agg(F.count("*").alias("k"))
+    largest = cut(sizes.groupBy(F.col("region").alias("g")).agg(F.max_by("root", F.struct("k", "root")).alias("main")))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    outside = met.join(largest, (F.col("region") == F.col("g")) & (F.col("root") != F.col("main")))
+    outside = outside.select(F.col("region").alias("r"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("q"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("place").alias("pplace"), F.col("root").alias("proot"))
+    dealt = met.select("region", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("part"), "node", "n", "place", "root")
+    return _pairs(dealt.join(outside, (F.col("region") == F.col("r")) & (F.col("part") == F.col("q")) & (F.col("root") != F.col("proot")) & _may_link()))
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -290,22 +216,20 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = _bounded(cut(classes.where("social").select("node").distinct()))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
     sets = cut(_sets(texts.dropDuplicates(["node", "text"])))
-    regions = _regions(sets)
+    regions = cut(_open(_regions(sets)))
+    found, roots = None, None
     for level in range(LEVELS):
-        met = cut(_shared_regions(regions))
-        if level:
-            small = cut(_pairs_in(met.where(F.col("members") <= CROWDED)))
-            links.append(cut(_measured(small, sets).where("ok").select("a", "b")))
-            met = met.where(F.col("members") > CROWDED)
+        met = regions if not level else regions.where(F.col("members") > CROWDED)
         if not met.head(1):
             break
-        found, regions = _by_pivots(met, sets, level)
-        links += found
-    else:
-        met = cut(_shared_regions(regions))
-        links.append(cut(_measured(_pairs_in(met.where(F.col("members") <= CROWDED)), sets).where("ok").select("a", "b")))
-        if met.where(F.col("members") > CROWDED).head(1):
-            links.append(_by_blocks(met.where(F.col("members") > CROWDED), sets))
+        near = cut(_measured(_with_pivots(met, level), sets).where("ok").select("a", "b"))
+        found = near if found is None else found.unionByName(near)
+        roots = cut(components(found))
+        regions = cut(_open(regions, roots))
+    if regions.head(1):
+        links.append(cut(_measured(_all_pairs(regions), sets).where("ok").select("a", "b")))
+    if found is not None:
+        links.append(found)
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)

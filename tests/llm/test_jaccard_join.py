@@ -150,3 +150,21 @@ def test_repeated_shingles_equal_a_plain_count(spark, monkeypatch):
         assert got[i][0] == len(s) and least <= got[i][1] <= len(s)
         if not any(o == s for j, o in sets.items() if j != i):
             assert got[i][1] == least
+
+
+def test_pairs_of_a_large_group_follow_its_rows(spark, monkeypatch):
+    """A group of near copies beside documents that hold its text without linking: few pairs are measured, no link is lost."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(400)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(300 + k, " ".join(base + [f"y{k % 3}z{i}" for i in range(55 + k % 5)])) for k in range(40)]
+    asked, measured = [], jaccard_join._measured
+    monkeypatch.setattr(jaccard_join, "_measured", lambda pairs, sets: (asked.append(pairs.count()), measured(pairs, sets))[1])
+    got = jaccard_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert sum(asked) < len(rows) * (len(rows) - 1) // 2 // 5
