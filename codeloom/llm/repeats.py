@@ -22,7 +22,7 @@ from .common import ready
 from .shingles import shingle_set
 
 #: Hashes and documents of a pack; a document of more hashes is a pack of its own.
-PACK, PACK_DOCS = 1 << 22, 50_000
+PACK, PACK_DOCS = 1 << 21, 50_000
 
 _NOTE = "bucket int, pack long, kind int, a binary, b binary, c binary, d binary, e binary"
 _DOCS, _HASHES = 0, 1

@@ -168,3 +168,20 @@ def test_pairs_of_a_large_group_follow_its_rows(spark, monkeypatch):
     got = jaccard_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
     assert sum(asked) < len(rows) * (len(rows) - 1) // 2 // 5
+
+
+def test_a_pack_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from codeloom.llm import repeats
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64)) for _ in range(repeats.PACK // 2000)]
+    tracemalloc.start()
+    try:
+        repeats._pack_rows(list(range(len(sets))), sets, 51)
+        assert tracemalloc.get_traced_memory()[1] < 256e6
+    finally:
+        tracemalloc.stop()
